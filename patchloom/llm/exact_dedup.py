@@ -52,6 +52,8 @@ class DigestIndex:
         """Append the groups of rows (digest, doc_id, uid) whose digest is new."""
         order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")
         groups = rows.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
+        # written first: else the optimizer moves the anti-join below the aggregate, and copies are shuffled unreduced
+        groups = Scratch(self.spark, "digest-groups").save(groups, "groups")
         new = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         self._append(new.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.uid").alias("keep_uid"), "group_size"))
 
