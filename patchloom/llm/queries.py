@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, mixing, packing, simhash, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_simhash": simhash.op3_simhash,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_mixing": mixing.op7_mixing,
 }
 
