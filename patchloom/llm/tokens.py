@@ -1,30 +1,39 @@
-"""Token counts and ids with a public vocabulary file, fast on text whose words recur."""
+"""Token ids with a public vocabulary file, fast on text whose words recur."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 #: Words whose ids a worker keeps at most; then it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Unseen words that are encoded together.
-_JOINED = 2_000
+_JOINED = 200
+
+_LETTERS = "a-zß-öø-ÿœ"
+#: Characters whose class and lower case are beyond doubt: ASCII, the letters of Western Europe, common punctuation.
+_PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿŒœ¡«»¿–—‘-„…€]*")
+#: How the vocabulary parts lower-case text of such characters.
+_WORDS = re.compile(f"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\s0-9{_LETTERS}]+")
 
 
 class WordCachedTokenizer:
-    """Ids of texts by a tokenizer that never joins what a space or a line feed parts.
+    """Ids of texts by the 49k-word vocabulary, which lower-cases text and encodes each word of it for itself.
 
-    Each word is encoded once and then looked up. Unseen words are encoded together, parted by an id that no text
-    yields; where a word holds that mark itself, the words are encoded one by one.
+    Each word is encoded once and then looked up. Plain text is cut into words here, other text at spaces and line feeds,
+    which the vocabulary never joins. Unseen words of plain text are encoded together and told apart by the mark that the
+    vocabulary puts at the end of each word.
     """
 
-    MARK = "<|endoftext|>"
     _shared: dict[str, WordCachedTokenizer] = {}
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(self.MARK)
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {"": b""}
 
     @classmethod
@@ -42,26 +51,30 @@ class WordCachedTokenizer:
         """Little-endian unsigned 32-bit ids of each text; none for a null."""
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
-        out = []
-        for text in texts:
-            words = (text or "").replace("\n", " ").split(" ")
-            known = self.known
-            try:
-                out.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:
-                self._learn([w for w in dict.fromkeys(words) if w not in known])
-                out.append(b"".join(map(known.__getitem__, words)))
-        return out
+        known = self.known
+        plain = [bool(_PLAIN.fullmatch(x or "")) and "<|" not in (x or "") for x in texts]
+        parts = [_WORDS.findall((x or "").lower()) if ok else (x or "").replace("\n", " ").split(" ") for x, ok in zip(texts, plain, strict=True)]
+        for ok in (True, False):
+            new = set().union(*[words for words, is_plain in zip(parts, plain, strict=True) if is_plain is ok]).difference(known)
+            if new:
+                self._learn(sorted(new), ok)
+        return [b"".join(map(known.__getitem__, words)) for words in parts]
 
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), _JOINED):
-            part = words[at : at + _JOINED]
-            ids = np.array(self.tokenizer.encode(f" {self.MARK} ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            marks = np.flatnonzero(ids == self.mark)
-            if len(marks) == len(part) - 1:
-                edges = [-1, *marks.tolist(), len(ids)]
-                for word, a, b in zip(part, edges, edges[1:], strict=False):
-                    self.known[word] = ids[a + 1 : b].tobytes()
-            else:
-                for word in part:
-                    self.known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _learn(self, words: list[str], plain: bool) -> None:
+        """plain: each word is one for the vocabulary too, so a run of them splits at the ids that end a word."""
+        alone = words
+        if plain:
+            runs = [words[at : at + _JOINED] for at in range(0, len(words), _JOINED)]
+            alone = []
+            for run, found in zip(runs, self.tokenizer.encode_batch_fast([" ".join(x) for x in runs], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, dtype="<u4")
+                edges = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(edges) != len(run):
+                    alone += run
+                    continue
+                data, start = ids.tobytes(), 0
+                for word, end in zip(run, edges, strict=True):
+                    self.known[word] = data[4 * start : 4 * end]
+                    start = end
+        for word in alone:
+            self.known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
