@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, simhash, toxicity
+from . import exact_dedup, license_scan, mixing, packing, simhash, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_simhash": simhash.op3_simhash,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_mixing": mixing.op7_mixing,
 }
 
 ORACLE = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op5_license_scan": license_scan.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }
