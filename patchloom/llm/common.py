@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import reduce
@@ -57,6 +58,11 @@ class Scratch:
         saved._scratch_path = path
         return saved
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of finished steps now, not when the driver happens to collect garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that no later plan reads."""
         for df in tables:
@@ -73,17 +79,18 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def lookup(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """Left join of rows to one group row per key, where a few keys may own a large share of the rows.
 
     groups holds the exact number of rows of each key in column size. Keys with at least HEAVY_SHARE of all rows are
     at most 1 / HEAVY_SHARE in number whatever the input, so they are broadcast; the rest is joined by a shuffle whose
     largest key is under that share. Both tables should be written ones: each is read twice.
     """
-    extra = [c for c in groups.columns if c != key]
+    keys = [key] if isinstance(key, str) else key
+    extra = [c for c in groups.columns if c not in keys]
     least = max(2, int(total * HEAVY_SHARE))
-    heavy = groups.where(F.col(size) >= least).withColumn("__heavy", F.lit(True))
+    heavy = groups.where(F.col(size) >= least)
     light = groups.where(F.col(size) < least)
-    hot = rows.join(F.broadcast(heavy), key).select(*rows.columns, *extra)
-    cold = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, "left").select(*rows.columns, *extra)
+    hot = rows.join(F.broadcast(heavy), keys).select(*rows.columns, *extra)
+    cold = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, "left").select(*rows.columns, *extra)
     return hot.unionByName(cold)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, license_scan, mixing, packing, simhash, toxicity
+from . import ann, exact_dedup, license_scan, mixing, packing, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_mixing": mixing.op7_mixing,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_ann": ann.op10_ann,
 }
 
