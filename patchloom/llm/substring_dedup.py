@@ -38,7 +38,7 @@ K = 100
 #: Different pieces of one anchor that are compared in one place at most.
 GROUP = 256
 #: Bytes that are hashed together at most; positions in a block take 24 bits.
-_BLOCK = 1 << 22
+_BLOCK = 1 << 19
 _POSITION = np.uint64((1 << 24) - 1)
 
 _RECORD = "d1 long, d2 long, mult long, kh long, c1 long, c2 long, lo long, nwin int, aoff int"
@@ -125,15 +125,22 @@ def _records(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator
                     break
 
 
+def _rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict]:
+    """Rows as dictionaries, few at a time."""
+    for batch in batches:
+        part = batch.select(names)
+        for at in range(0, part.num_rows, 128):
+            yield from part.slice(at, 128).to_pylist()
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the pieces that each text is asked for."""
-    for batch in batches:
-        for row in batch.select(["d1", "d2", "text", "pieces"]).to_pylist():
-            data = row["text"].encode()
-            out = [(row["d1"], row["d2"], p["kh"], p["m"], p["lo"], p["nwin"], p["aoff"], data[p["lo"] : p["lo"] + p["nwin"] + length - 1]) for p in row["pieces"]]
-            names = ["d1", "d2", "kh", "m", "lo", "nwin", "aoff", "data"]
-            types = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+    for row in _rows(batches, ["d1", "d2", "text", "pieces"]):
+        data = row["text"].encode()
+        out = [(row["d1"], row["d2"], p["kh"], p["m"], p["lo"], p["nwin"], p["aoff"], data[p["lo"] : p["lo"] + p["nwin"] + length - 1]) for p in row["pieces"]]
+        names = ["d1", "d2", "kh", "m", "lo", "nwin", "aoff", "data"]
+        types = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
 
 def _split(batches: Iterator[pa.RecordBatch], width: int, length: int) -> Iterator[pa.RecordBatch]:
@@ -144,7 +151,7 @@ def _split(batches: Iterator[pa.RecordBatch], width: int, length: int) -> Iterat
     types = [pa.int64()] * 7 + [pa.int32()] * 2 + [pa.binary()]
     for batch in batches:
         out = []
-        for r in batch.to_pylist():
+        for r in _rows([batch], batch.schema.names):
             data, top = r["data"], r["aoff"]
             o = top
             while o > top - r["nwin"]:
@@ -221,12 +228,19 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     held: pa.Table | None = None
 
     def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not t.num_rows:
-            return
+        keys = t.column("kh").to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, dtype=np.int64)
+        at = 0
+        while at < len(keys):  # some groups at a time: hashes take many times the bytes
+            stop = int(starts[max(np.searchsorted(starts, at, "right"), np.searchsorted(starts, at + GROUP, "right") - 1)])
+            yield spans(t.slice(at, stop - at))
+            at = stop
+
+    def spans(t: pa.Table) -> pa.RecordBatch:
         kh, m, aoff, nwin, lo, d1, d2 = (t.column(c).to_numpy().astype(np.int64) for c in ("kh", "m", "aoff", "nwin", "lo", "d1", "d2"))
         found = repeated_strings(kh, m == 1, aoff, nwin, t.column("data").to_pylist(), length)
         x, a, n = (np.array([f[i] for f in found], dtype=np.int64) for i in range(3))
-        yield pa.RecordBatch.from_arrays([pa.array(d1[x]), pa.array(d2[x]), pa.array(lo[x] + a), pa.array(n.astype(np.int32))], names=["d1", "d2", "lo", "nwin"])
+        return pa.RecordBatch.from_arrays([pa.array(d1[x]), pa.array(d2[x]), pa.array(lo[x] + a), pa.array(n.astype(np.int32))], names=["d1", "d2", "lo", "nwin"])
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -242,25 +256,31 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 def _clean(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """What is left of each text."""
-    for batch in batches:
-        out = []
-        for row in batch.select(["d1", "d2", "mult", "text", "spans"]).to_pylist():
-            data = row["text"].encode()
-            kept, at, removed, runs = hashlib.sha256(), 0, 0, 0
-            for lo, hi in sorted((s["lo"], s["lo"] + s["nwin"] + length - 1) for s in row["spans"] or ()):
-                if lo > at or not runs:
-                    kept.update(data[at:lo])
-                    runs += 1
-                    at = lo
-                if hi > at:
-                    removed += hi - at
-                    at = hi
-            kept.update(data[at:])
-            out.append((row["d1"], row["d2"], row["mult"], len(data), removed, runs, kept.hexdigest()))
-        names = ["d1", "d2", "mult", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        types = [pa.int64()] * 6 + [pa.string()]
+    names = ["d1", "d2", "mult", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    types = [pa.int64()] * 6 + [pa.string()]
+    out: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
         columns = list(zip(*out, strict=True)) if out else [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    for row in _rows(batches, ["d1", "d2", "mult", "text", "spans"]):
+        data = row["text"].encode()
+        kept, at, removed, runs = hashlib.sha256(), 0, 0, 0
+        for lo, hi in sorted((s["lo"], s["lo"] + s["nwin"] + length - 1) for s in row["spans"] or ()):
+            if lo > at or not runs:
+                kept.update(data[at:lo])
+                runs += 1
+                at = lo
+            if hi > at:
+                removed += hi - at
+                at = hi
+        kept.update(data[at:])
+        out.append((row["d1"], row["d2"], row["mult"], len(data), removed, runs, kept.hexdigest()))
+        if len(out) == 4096:
+            yield flush()
+            out.clear()
+    yield flush()
 
 
 def _settle(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
