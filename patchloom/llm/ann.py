@@ -98,7 +98,7 @@ def scan(turned_q: np.ndarray, own: np.ndarray, turned: np.ndarray, ids: np.ndar
         limit = (bound * (end / d) * (1 + SLACK / math.sqrt(end)) ** 2 if end < d else bound) + 1e-9
         if pairs is None:
             partial += (q * q).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * (q @ c.T)
-            keep = partial <= limit[:, None]
+            keep = (partial <= limit[:, None]) & np.isfinite(partial)
             if end == d or keep.mean() < few:
                 pairs = np.nonzero(keep)
                 open_sum = partial[pairs]
