@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchloom.llm import exact_dedup, mixing, packing, simhash, toxicity
+from patchloom.llm import exact_dedup, mixing, near_copies, packing, toxicity
 from patchloom.llm.common import Scratch, table
 
 
@@ -26,8 +26,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: one document of each near-duplicate group stays."""
-    return simhash.one_of_each(spark, docs)
+    """Operator 3: one document of each group of texts with a similarity of 0.8 or more stays."""
+    return near_copies.one_of_each(spark, docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
