@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_batches, table
 from .tokens import WordCachedTokenizer
 
 SEQUENCE = 2048
@@ -203,6 +203,7 @@ def pack(
         packer.finish()
         yield flush()
 
+    bound_batches(docs.sparkSession)
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     columns += [F.col(loss_column).cast("boolean").alias(loss_column)] if loss_column else []
     return docs.select(*columns).mapInArrow(task, PIECES)

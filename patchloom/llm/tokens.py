@@ -6,8 +6,8 @@ import re
 
 import numpy as np
 
-#: Words whose ids a worker keeps at most; then it starts anew.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker keeps of late at most; as many again are kept of before.
+CACHE_WORDS = 350_000
 #: Unseen words that are encoded together.
 _JOINED = 200
 
@@ -33,8 +33,10 @@ class WordCachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(size)]
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
 
     @classmethod
     def shared(cls, path: str | None = None) -> WordCachedTokenizer:
@@ -50,12 +52,16 @@ class WordCachedTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; none for a null."""
         if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        known = self.known
+            self.before, self.known = self.known, {"": b""}
+        known, before = self.known, self.before
         plain = [bool(_PLAIN.fullmatch(x or "")) and "<|" not in (x or "") for x in texts]
         parts = [_WORDS.findall((x or "").lower()) if ok else (x or "").replace("\n", " ").split(" ") for x, ok in zip(texts, plain, strict=True)]
         for ok in (True, False):
             new = set().union(*[words for words, is_plain in zip(parts, plain, strict=True) if is_plain is ok]).difference(known)
+            old = [word for word in new if word in before]
+            for word in old:
+                known[word] = before[word]
+            new.difference_update(old)
             if new:
                 self._learn(sorted(new), ok)
         return [b"".join(map(known.__getitem__, words)) for words in parts]
@@ -64,6 +70,12 @@ class WordCachedTokenizer:
         """plain: each word is one for the vocabulary too, so a run of them splits at the ids that end a word."""
         alone = words
         if plain:
+            # printable ASCII stands for itself in the byte alphabet, so the model may be asked directly
+            ask, id_bytes, known = self.tokenizer.model.tokenize, self.id_bytes, self.known
+            for word in words:
+                if word.isascii():
+                    known[word] = b"".join([id_bytes[t.id] for t in ask(word)])
+            words = [word for word in words if not word.isascii()]
             runs = [words[at : at + _JOINED] for at in range(0, len(words), _JOINED)]
             alone = []
             for run, found in zip(runs, self.tokenizer.encode_batch_fast([" ".join(x) for x in runs], add_special_tokens=False), strict=True):

@@ -28,7 +28,7 @@ MAX_TRAINING_ROWS = 16_000
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.01
 PREDICT_FROM = 0.7
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 _BLOCK_WORDS = 1 << 20
 
 _PAIR, _SKIP, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
@@ -127,7 +127,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = M
     """
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(y, np.frombuffer(x, dtype="<i4").astype(np.int64)) for b in batches for y, x in zip(b.column("toxic").to_pylist(), b.column("places").to_pylist(), strict=True)]
+        rows = [(y, np.frombuffer(x, dtype="<i4")) for b in batches for y, x in zip(b.column("toxic").to_pylist(), b.column("places").to_pylist(), strict=True)]
         toxic = sum(y for y, _ in rows)
         model = Ftrl()
         model.bias = float(np.log((toxic + 0.5) / (len(rows) - toxic + 0.5)))
