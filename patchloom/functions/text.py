@@ -151,3 +151,9 @@ def word_tokens(text: Column) -> Column:
 def level_rank(level: Column) -> Column:
     """High 4, Medium 3, Low 2, Inconsistent 1."""
     return F.when(level == "High", 4).when(level == "Medium", 3).when(level == "Low", 2).when(level == "Inconsistent", 1)
+
+
+def yes_no(answer: Column) -> Column:
+    """Whether a JSON answer in prose says yes; an answer that cannot be read says no."""
+    said = F.get_json_object(json_in_prose(answer), "$.answer")
+    return F.coalesce(F.lower(F.trim(said)) == "yes", F.lit(False))

@@ -24,3 +24,9 @@ def select_top(df: DataFrame, keys: list[str], n: int, order: str, score: str =
 
 def majority(yes: Column, votes: Column, share: float) -> Column:
     return yes >= F.ceil(votes * share)
+
+
+def seeded_order(df: DataFrame, key: str, size: str, seed: int) -> DataFrame:
+    """place of each row by size, ties in an order that the seed fixes: the same everywhere and at any partitioning."""
+    mixed = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")))
+    return df.withColumn("tie", mixed).withColumn("place", F.dense_rank().over(Window.partitionBy(size).orderBy("tie", key)))

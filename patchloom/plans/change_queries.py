@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions import diff
 from patchloom.functions.vectors import HashingEmbedder, embed
-from patchloom.operators import clustering, patterns
+from patchloom.operators import clustering, dendrogram, patterns
 from patchloom.session import table, written
 
 from . import models, repair
@@ -147,3 +147,26 @@ def repair_pipeline(spark: SparkSession, d: str) -> DataFrame:
     texts = table(spark, d, "benchmark")
     base = texts.select(F.col("item_id").alias("vec_id"), embed(HashingEmbedder())(F.col("text")).alias("embedding"), (F.col("item_id") % 4).cast("int").alias("partition"), "text")
     return repair.with_status(rows, repair.run(rows, written(base, "knowledge")))
+
+
+def _dendrogram(spark: SparkSession, d: str) -> DataFrame:
+    found = patterns.clustered(written(patterns.mine(patterns.consecutive(_trees(spark, d))), "patterns"))
+    return written(found.withColumn("tree", F.concat_ws("/", "root_type", "block")), "dendrograms")
+
+
+@query()
+def dendrogram_traversal(spark: SparkSession, d: str) -> DataFrame:
+    """Level and number of leaves of every node."""
+    nodes = _dendrogram(spark, d)
+    found = written(dendrogram.paths(nodes.select("tree", "node", "left", "right")), "paths")
+    tips = dendrogram.leaves(nodes, found).groupBy("tree", "node").agg(F.count("*").alias("leaves"))
+    return found.select("tree", "node", "level").join(tips, ["tree", "node"])
+
+
+@query()
+def hierarchical_apply(spark: SparkSession, d: str) -> DataFrame:
+    """of the patterns in a tree that could apply, those at the deepest level: here, that have two sources or more."""
+    nodes = _dendrogram(spark, d)
+    found = dendrogram.paths(nodes.select("tree", "node", "left", "right")).select("tree", "node", "level")
+    hits = nodes.where("sources > 1").select(F.lit(0).alias("target"), "tree", "node").join(found, ["tree", "node"])
+    return dendrogram.deepest_hits(hits).select("tree", "node", "level")

@@ -300,3 +300,20 @@ def group_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("conv_id").agg(
         F.min("text").alias("least_text"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.count_distinct("role").alias("n_roles"), F.count("*").alias("n")
     )
+
+
+@query("""
+SELECT doc_id, dense_rank() OVER (PARTITION BY n_chars ORDER BY md5('1000/' || doc_id), doc_id)::BIGINT AS place FROM documents
+""")
+def seeded_order(spark: SparkSession, d: str) -> DataFrame:
+    """By size, ties in a seeded order."""
+    return ranking.seeded_order(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 1000).select("doc_id", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT conv_id, count(*) FILTER (turn % 3 = 0)::BIGINT AS yes, count(*) FILTER (turn % 3 = 0) >= ceil(count(*) * 0.5) AS carried FROM conversations GROUP BY conv_id")
+def yes_no_votes(spark: SparkSession, d: str) -> DataFrame:
+    """Votes read from JSON in prose."""
+    answer = F.expr("CASE turn % 3 WHEN 0 THEN 'I say {\"answer\": \"Yes\"} here' WHEN 1 THEN '```json {\"answer\": \"no\"} ```' ELSE 'yes' END")
+    rows = table(spark, d, "conversations").select("conv_id", T.yes_no(answer).alias("said"))
+    yes, votes = F.count_if("said"), F.count("*")
+    return rows.groupBy("conv_id").agg(yes.alias("yes"), ranking.majority(yes, votes, 0.5).alias("carried"))

@@ -208,3 +208,18 @@ def keyword_overlap(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").withColumn("after", after).where("after IS NOT NULL")
     words = lambda c: F.array_distinct(F.split(c, " "))
     return rows.select("conv_id", "turn", F.round(1 - V.jaccard(words("text"), words("after")), 6).alias("keyword_distance"))
+
+
+@query(f"""
+SELECT query_id, vec_id, place FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY second DESC, vec_id) AS place FROM (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM (
+      SELECT q.vec_id AS query_id, b.vec_id, round(list_sum(list_transform(list_zip(q.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS score, (b.vec_id * 37 % 101)::BIGINT AS second
+      FROM embeddings q JOIN embeddings b ON q.label = b.label WHERE q.vec_id % 100 = 0)) WHERE n <= 50)) WHERE place <= 10
+""")
+def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Fifty best by one score, ten of these by another."""
+    rows = table(spark, d, "embeddings")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "label")
+    pairs = asked.join(rows, "label").select("query_id", "vec_id", F.round(V.dot(F.col("query"), F.col("embedding")), 6).alias("score"), (F.col("vec_id") * 37 % 101).alias("second"))
+    return vector_search.reranked(pairs, ["query_id"], "score", "second", "vec_id").select("query_id", "vec_id", F.col("rank").cast("long").alias("place"))

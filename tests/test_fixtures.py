@@ -285,3 +285,27 @@ def test_stream_windows(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("windows").groupBy().sum("n").first()[0] == 8
+
+
+def test_dendrogram_traversal(spark):
+    from patchloom.operators import dendrogram
+
+    nodes = spark.createDataFrame([("t", 0, -1, -1), ("t", 1, -1, -1), ("t", 2, -1, -1), ("t", 3, 0, 1), ("t", 4, 2, 3), ("u", 0, -1, -1)], "tree string, node int, left int, right int")
+    found = dendrogram.paths(nodes)
+    got = {(r.tree, r.node): r.path for r in found.collect()}
+    assert got["t", 0] == [4, 3, 0] and got["t", 2] == [4, 2] and got["u", 0] == [0]
+    tips = {(r.tree, r.node): 0 for r in dendrogram.leaves(nodes, found).collect()}
+    assert ("t", 3) in tips and dendrogram.leaves(nodes, found).where("node = 4").count() == 3
+    hits = found.select(F.lit(1).alias("target"), "tree", "node", "level")
+    assert {r.node for r in dendrogram.deepest_hits(hits.where("tree = 't'")).collect()} == {0, 1}
+    flat = spark.createDataFrame([(0,), (7,)], "node int")
+    assert [r.node for r in dendrogram.outside_trees(flat, nodes, "node").collect()] == [7]
+    marked = found.withColumns({"up": F.lit(4), "low": F.lit(0)})
+    assert dendrogram.is_ancestor(marked, "up", "low").where("tree = 't'").count() == 1
+
+
+def test_c_text():
+    name = lambda v: leaf("name", v)
+    call = N("expr_stmt", "", (N("expr", "", (N("call", "", (name("f"), N("argument_list", "", (name("a"), name("b"))))),)),))
+    tree = N("if", "", (N("condition", "", (name("x"), leaf("operator", ">"), leaf("literal", "0"))), N("block", "", (call, leaf("break", "")))))
+    assert trees.to_c(tree) == "if (x > 0) {\n    f(a, b);\n    break;\n}"
