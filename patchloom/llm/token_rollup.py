@@ -26,7 +26,7 @@ from .tokens import WordCachedTokenizer
 
 KEY = ["source", "lang", "version"]
 DELTA = "source string, lang string, version string, documents long, tokens long"
-#: Documents with fewer words are taken out again by the query's last batch.
+#: Documents with fewer words are taken out and put back by the query's last batches.
 LEAST_WORDS = 5
 
 _WORD = re.compile(r"\w+")
@@ -128,9 +128,9 @@ def counted(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole table in three batches: loaded under two tokenizer versions, one of these revised, very short texts deleted.
+    """The whole table in four batches: loaded under two tokenizer versions, one of these revised, very short texts deleted and put back.
 
-    The first batch is sent twice, as after a lost answer, and counts once.
+    The first batch is sent twice, as after a lost answer, and counts once. The totals are those of all documents.
     """
     rows = Scratch(spark, "token-counts").save(counted(table(spark, sf_dir, "documents")), "counts")
     rollup = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
@@ -139,6 +139,7 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("load", load)
     rollup.commit("revise-words", signed(rows, "words", "blank_words", -1).unionByName(signed(rows, "words", "words", 1)))
     short = rows.where(F.col("words") < LEAST_WORDS)
-    rollup.commit("delete-short", signed(short, "words", "words", -1).unionByName(signed(short, "word_bpe_49k", "tokens", -1)))
+    for batch, sign in (("delete-short", -1), ("restore-short", 1)):
+        rollup.commit(batch, signed(short, "words", "words", sign).unionByName(signed(short, "word_bpe_49k", "tokens", sign)))
     rollup.compact()
     return rollup.totals()

@@ -223,6 +223,20 @@ def test_token_rollup(spark, docs, empty, tmp_path):
         rollup.commit("../x", load)
 
 
+def test_token_rollup_counts_all_documents(spark, tmp_path):
+    rows = [t for t in TEXTS if t[1] != LONG] + [(10, "only four words here", "xx", "short", 20)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
+    texts = [t[1] or "" for t in rows]
+    tokens = [len(x) // 4 for x in token_rollup.WordCachedTokenizer.shared(None).encode(texts)]
+    want = {}
+    for t, x, n in zip(rows, texts, tokens, strict=True):
+        for version, count in (("words", len(re.findall(r"\w+", x))), ("word_bpe_49k", n)):
+            documents, total = want.get((t[3], t[2], version), (0, 0))
+            want[t[3], t[2], version] = documents + 1, total + count
+    got = token_rollup.op4_token_rollup(spark, f"file://{tmp_path}").collect()
+    assert {(r.source, r.lang, r.version): (r.documents, r.tokens) for r in got} == want and len(got) == len(want)
+
+
 def test_warc(spark, tmp_path):
     big = "x" * 1200
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (3, None, None), (4, "http://a/4", "small"), (5, "http://a/5", "small"), (None, "http://a/n", big + "é"), (2, "http://a/2b", big), (6, "u", "")]
