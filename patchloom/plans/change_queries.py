@@ -130,7 +130,7 @@ def pattern_match_apply(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def pattern_dendrogram(spark: SparkSession, d: str) -> DataFrame:
     """Dendrograms of edit patterns by root type."""
-    return patterns.clustered(written(patterns.mine(patterns.consecutive(_trees(spark, d))), "patterns"))
+    return patterns.clustered(written(patterns.mine(patterns.consecutive(_trees(spark, d))), "patterns")).drop("before", "after")
 
 
 @query()

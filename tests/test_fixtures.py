@@ -276,6 +276,26 @@ def test_pattern_frames(spark):
     assert mined.count() > 0 and patterns.clustered(mined, block=2).count() >= mined.select("root_type", "before", "after").distinct().count()
 
 
+def test_clustered_takes_whole_root_types(spark):
+    rows = [("p", i, trees.Pattern(N("p", "v" if i % 5 else "w", (leaf("a", str(i)), leaf("k", "k"))), leaf("p", "z") if i % 3 else None, (i,))) for i in range(30)]
+    frame = spark.createDataFrame([(t, i, trees.canonical(p.before), trees.canonical(p.after)) for t, i, p in rows], "root_type string, pair_id long, before string, after string")
+    got = patterns.clustered(frame, block=2).collect()
+    want = trees.dendrogram([p for _, _, p in rows])
+    merged = lambda xs: sorted((x[0], x[1], x[2]) for x in xs)
+    assert merged((r.before, r.after, r.sources) for r in got) == merged((trees.canonical(p.before), trees.canonical(p.after), len(p.sources)) for *_, p in want)
+    # four kinds, each of them one dendrogram
+    assert sum(r.left >= 0 for r in got) == 26 and max(r.sources for r in got) == 16
+
+
+def test_rigid_patterns_merge_by_equal_right_sides_only():
+    texts = [N("p", "", tuple(leaf("t", x) for x in xs)) for xs in ("a", "b", "ab", "bc", "abc", "")]
+    ps = [trees.Pattern(b, a, (i,)) for i, (b, a) in enumerate((b, a) for b in texts for a in [*texts, None])]
+    for p in ps:
+        for q in ps:
+            if p.after != q.after and trees.rigid(p) and trees.rigid(q):
+                assert trees.merge(p, q) is None
+
+
 def test_stream_windows(spark, tmp_path):
     from patchloom.streaming import changes
 
