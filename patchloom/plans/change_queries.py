@@ -163,10 +163,20 @@ def dendrogram_traversal(spark: SparkSession, d: str) -> DataFrame:
     return found.select("tree", "node", "level").join(tips, ["tree", "node"])
 
 
+#: Matches in one tree beyond which a pattern is too general for it.
+MOST_MATCHES = 2
+
+
 @query()
 def hierarchical_apply(spark: SparkSession, d: str) -> DataFrame:
-    """of the patterns in a tree that could apply, those at the deepest level: here, that have two sources or more."""
-    nodes = _dendrogram(spark, d)
-    found = dendrogram.paths(nodes.select("tree", "node", "left", "right")).select("tree", "node", "level")
-    hits = nodes.where("sources > 1").select(F.lit(0).alias("target"), "tree", "node").join(found, ["tree", "node"])
-    return dendrogram.deepest_hits(hits).select("tree", "node", "level")
+    """Of each dendrogram's patterns that apply to a page, those at the deepest level, if they match it twice at most."""
+    pages = _trees(spark, d)
+    mined = written(patterns.mine(patterns.consecutive(pages)), "patterns")
+    nodes = written(patterns.clustered(mined).withColumn("tree", F.concat_ws("/", "root_type", "block")), "dendrograms")
+    found = dendrogram.paths(nodes.select("tree", "node", "left", "right"))
+    # a block holds many dendrograms; the root tells them apart
+    level = found.select("tree", "node", "level", F.element_at("path", 1).alias("root"))
+    targets = pages.select(F.col("tree_id").alias("target"), F.col("tree").alias("page"))
+    hits = patterns.node_hits(nodes, targets).join(level, ["tree", "node"]).withColumn("tree", F.concat_ws("/", "tree", "root")).drop("root")
+    deepest = dendrogram.deepest_hits(written(hits, "hits"))
+    return deepest.where(F.col("matches") <= MOST_MATCHES).select("target", "tree", "node", "level", "matches")

@@ -296,6 +296,29 @@ def test_rigid_patterns_merge_by_equal_right_sides_only():
                 assert trees.merge(p, q) is None
 
 
+def test_node_hits_and_hierarchical_apply(spark, tmp_path):
+    from patchloom.operators import dendrogram
+    from patchloom.plans import change_queries
+
+    html = [f"<ul><li>k</li><li>{w}</li></ul><p>a{i % 4}</p><p>z</p>" + "<p>a1</p>" * (i % 4) for i, w in enumerate(["x", "y", "x", "v", "x", "w", "y", "y"])]
+    pages = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+    pages.write.parquet(f"file://{tmp_path}/pages.parquet")
+    parsed = patterns.parse_pages(pages)
+    nodes = patterns.clustered(patterns.mine(patterns.consecutive(parsed))).withColumn("tree", F.concat_ws("/", "root_type", "block")).cache()
+    level = {(r.tree, r.node): (r.path[0], r.level) for r in dendrogram.paths(nodes.select("tree", "node", "left", "right")).collect()}
+    best = {}
+    for n in nodes.collect():
+        root, depth = level[n.tree, n.node]
+        for t in parsed.collect():
+            made = trees.apply(trees.from_canonical(n.before), trees.from_canonical(n.after), trees.from_canonical(t.tree))
+            if made:
+                best.setdefault((t.tree_id, f"{n.tree}/{root}"), []).append((depth, n.node, len(made)))
+    want = {(*k, node, depth, m) for k, v in best.items() for depth, node, m in v if depth == max(v)[0] and m <= 2}
+    got = change_queries.hierarchical_apply(spark, f"file://{tmp_path}").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 0
+    assert any(m > 2 for v in best.values() for *_, m in v) and len({r.target for r in got}) > 1
+
+
 def test_stream_windows(spark, tmp_path):
     from patchloom.streaming import changes
 
