@@ -5,9 +5,8 @@ KEYS smallest shingle hashes instead (two documents at 0.8 share none with a cha
 bit-sliced as in simhash, here with five carry-save counters and RADIUS 24, and what is within the radius is confirmed by
 the similarity of the two sets of shingles. A pair that earlier links already connect is not looked at again.
 
-Files with over FILE members (a common line is the smallest shingle of all its documents) are filed anew by every two hashes
-(at 0.8, two documents share fewer than two of six with a chance of 0.0016); what is still too large is cut into blocks, and
-every two blocks are compared in a task of their own, so no task holds more than two blocks.
+Files with over FILE members (a common line is the smallest shingle of all its documents) are cut into blocks, and every two
+blocks are compared in a task of their own, so no task holds more than two blocks and no pair of a file is left out.
 
 Defined cases: texts under five words are one shingle; null, empty and blank texts are alike; equal sets are alike; repeated
 doc_ids are one group; documents without doc_id are never dropped; an empty table gives an empty result; other
@@ -17,14 +16,14 @@ columns are carried.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions, union_all
+from .common import Scratch, shuffle_partitions
 from .components import connected_components
 from .simhash import SEED, planes
 
@@ -149,26 +148,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _filed(rows: DataFrame, level: int) -> DataFrame:
-    """uid and file for every choice of level of the keys."""
-    chosen = [F.xxhash64(F.lit(level), *[F.struct(F.lit(i), F.element_at("keys", i + 1)) for i in c]) for c in combinations(range(KEYS), level)]
-    return rows.select("uid", F.explode(F.array_distinct(F.array(*chosen))).alias("file"))
-
-
 def files(rows: DataFrame, scratch: Scratch, most: int = FILE) -> DataFrame:
-    """file, part, uid of all files with two members or more; part tells block pairs of files that stay too large."""
-    out, crowded = [], rows
-    for level in (1, 2):
-        filed = scratch.save(_filed(crowded, level), f"filed-{level}")
-        sizes = scratch.save(filed.groupBy("file").agg(F.count("*").alias("n")).where("n > 1"), f"sizes-{level}")
-        fit = sizes.where(F.col("n") <= most) if level < 2 else sizes
-        out.append(filed.join(fit, "file"))
-        large = sizes.where(F.col("n") > most)
-        if level == 2 or large.isEmpty():
-            break
-        members = scratch.save(filed.join(large.select("file"), "file").select("uid").distinct(), f"crowded-{level}")
-        crowded = rows.join(members, "uid", "left_semi")
-    every = union_all(out)
+    """file, part, uid of all files of two members or more; part tells block pairs of files over the limit."""
+    chosen = [F.xxhash64(F.lit(1), F.struct(F.lit(i), F.element_at("keys", i + 1))) for i in range(KEYS)]
+    filed = scratch.save(rows.select("uid", F.explode(F.array_distinct(F.array(*chosen))).alias("file")), "filed")
+    sizes = scratch.save(filed.groupBy("file").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    every = filed.join(sizes, "file")
     blocks = F.ceil(F.col("n") / most)
     own = F.pmod(F.xxhash64("uid"), blocks)
     # block pairs (i, j) with i <= j that a member's own block belongs to

@@ -60,3 +60,23 @@ def test_one_of_each(spark, texts):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted(firsts.values()) and None in ids
     assert near_copies.one_of_each(spark, docs.limit(0)).count() == 0
+
+
+def test_pair_that_shares_only_a_crowded_file(spark):
+    rng = random.Random(3)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    for _ in range(20_000):
+        base = words(44)
+        a, b = " ".join(base + words(5)), " ".join(base + words(5))
+        x, y = near_copies.shingle_hashes(a), near_copies.shingle_hashes(b)
+        (fa, ka), (fb, kb) = near_copies.sketch(x), near_copies.sketch(y)
+        shared = [i for i in range(near_copies.KEYS) if ka[i] == kb[i]]
+        if len(shared) == 1 and ((fa ^ fb) & (2**64 - 1)).bit_count() <= near_copies.RADIUS:
+            break
+    assert len(shared) == 1 and len(np.intersect1d(x, y)) == 0.8 * len(np.union1d(x, y))
+    lines = [" ".join(base[i : i + 5]) for i in range(40)]
+    common = next(t for t in lines if near_copies.sketch(near_copies.shingle_hashes(t))[1][shared[0]] == ka[shared[0]])
+    docs = spark.createDataFrame([(0, a), (1, b), *((i, common) for i in range(2, 12))], "doc_id long, text string")
+    for most in (near_copies.FILE, 4):
+        got = {r.doc_id: r.root for r in near_copies.similar_groups(spark, docs, most=most).collect()}
+        assert got[0] == got[1] and len({got[i] for i in range(2, 12)}) == 1 and got[0] != got[2]
