@@ -27,13 +27,13 @@ def text_digest(text: F.Column) -> F.Column:
 
 
 class DigestIndex:
-    """A catalog table digest -> (keep_id, keep_uid, group_size), bucketed and sorted by digest.
+    """A catalog table digest -> (keep_id, keep_uid, group_size, batch), bucketed and sorted by digest.
 
-    group_size counts the rows of the batch that brought the digest in. buckets defaults to the session's number of
+    batch tells which batch brought the digest in: keep_uid is a row of that batch, and group_size counts its rows. buckets defaults to the session's number of
     shuffle partitions, so that the anti-join and the append need no exchange of their own.
     """
 
-    SCHEMA = "digest binary, keep_id long, keep_uid long, group_size long"
+    SCHEMA = "digest binary, keep_id long, keep_uid long, group_size long, batch string"
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None) -> None:
         self.spark = spark
@@ -48,14 +48,15 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, rows: DataFrame) -> None:
-        """Append the groups of rows (digest, doc_id, uid) whose digest is new."""
+    def add(self, rows: DataFrame, batch: str | None = None) -> DataFrame:
+        """Append the groups of rows (digest, doc_id, uid) whose digest is new; all groups of rows, with their sizes."""
         order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")
         groups = rows.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
         # written first: else the optimizer moves the anti-join below the aggregate, and copies are shuffled unreduced
         groups = Scratch(self.spark, "digest-groups").save(groups, "groups")
         new = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        self._append(new.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.uid").alias("keep_uid"), "group_size"))
+        self._append(new.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.uid").alias("keep_uid"), "group_size", F.lit(batch or uuid.uuid4().hex).alias("batch")))
+        return groups.select("digest", "group_size")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -67,17 +68,22 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """A row per document of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    """A row per document of docs: doc_id, keep_id, group_size, kept, text_sha256.
+
+    group_size counts the rows of docs. With an index of earlier batches, nothing is kept whose digest it has already.
+    """
     scratch = Scratch(spark, "exact-dedup")
     rows = scratch.save(digests(docs), "digests")
     index = index or DigestIndex(spark)
-    index.add(rows)
-    found = lookup(rows, index.read(), "digest", "group_size", rows.count())
+    batch = uuid.uuid4().hex
+    sizes = index.add(rows, batch)
+    groups = scratch.save(index.read().drop("group_size").join(sizes, "digest"), "groups")
+    found = lookup(rows, groups, "digest", "group_size", rows.count())
     return found.select(
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("uid") == F.col("keep_uid")).alias("kept"),
+        ((F.col("batch") == batch) & (F.col("uid") == F.col("keep_uid"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 

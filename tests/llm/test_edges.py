@@ -62,6 +62,21 @@ def test_exact_dedup(spark, docs, empty):
     assert exact_dedup.exact_dedup(spark, empty).count() == exact_dedup.keep_first(spark, empty).count() == 0
 
 
+def test_exact_dedup_twice_on_one_index(spark, docs):
+    index = exact_dedup.DigestIndex(spark)
+    first = exact_dedup.exact_dedup(spark, docs.where("doc_id < 5").select("doc_id", "text"), index).collect()
+    assert sum(r.kept for r in first) == len({r.text_sha256 for r in first}) == 2
+    second = exact_dedup.exact_dedup(spark, docs.select("doc_id", "text"), index).collect()
+    old = {r.text_sha256: r.keep_id for r in first}
+    assert len(second) == len(TEXTS) and not any(r.kept for r in second if r.text_sha256 in old)
+    assert all(r.keep_id == old[r.text_sha256] for r in second if r.text_sha256 in old)
+    assert sorted(r.text_sha256 for r in second if r.kept) == sorted({r.text_sha256 for r in second} - set(old))
+    sizes = [r.text_sha256 for r in second]
+    assert all(r.group_size == sizes.count(r.text_sha256) for r in second)
+    assert not any(r.kept for r in exact_dedup.exact_dedup(spark, docs.select("doc_id", "text"), index).collect())
+    index.drop()
+
+
 def test_exact_dedup_index_grows(spark, docs):
     index = exact_dedup.DigestIndex(spark)
     rows = exact_dedup.digests(docs.where("doc_id < 5").select("doc_id", "text"))
