@@ -115,6 +115,11 @@ def valid_line_numbers(json_text: Column, schema: str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(whole, lambda n: n.isNotNull() & (n > 0))))
 
 
+def first_code_block(text: Column) -> Column:
+    """What the first fence holds, without its language; empty without one."""
+    return strip(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)```[\w+-]*\n(.*?)```", 1))
+
+
 def hunk_bounds(header: Column) -> tuple[Column, Column, Column, Column]:
     """(old start, old count, new start, new count) of '@@ -a,b +c,d @@'; a count that is not written is 1."""
     pattern = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"

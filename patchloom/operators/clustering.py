@@ -76,14 +76,3 @@ def group_vectors(rows: DataFrame, keys: list[str], member: str, vector: str, mo
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, member]) + ", group_id int"
     return rows.select(*keys, member, vector).groupBy(*keys).applyInPandas(solve, schema)
-
-
-def synthesised(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One enhanced candidate for each group with two members or more, of problems that have more than one group.
-
-    It gets the sentinels score 1.1 and distance -2, and so ranks first; rows are keys, group_id, text.
-    """
-    sizes = rows.groupBy(*keys, "group_id").agg(F.count("*").alias("n"), F.min("text").alias("text"), F.array_sort(F.collect_set("name")).alias("names"))
-    n_groups = rows.groupBy(*keys).agg(F.count_distinct("group_id").alias("n_groups"))
-    chosen = sizes.join(n_groups, keys).where("n_groups > 1 AND n > 1")
-    return chosen.select(*keys, "group_id", "text", F.lit(1.1).alias("score"), F.lit(-2.0).alias("distance"), F.lit("group_enhanced").alias("method"))

@@ -91,10 +91,10 @@ def agglomerative_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def patch_grouping(spark: SparkSession, d: str) -> DataFrame:
-    """Assistant turns of a conversation grouped; groups of two or more give an enhanced candidate."""
-    rows = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text", F.col("role").alias("name"))
+    """Assistant turns of a conversation grouped by their vectors; groups of two or more give a joint candidate."""
+    rows = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text", F.lit("plain").alias("strategy"), F.col("role").alias("cause"))
     grouped = clustering.group_vectors(rows.withColumn("v", embed(HashingEmbedder())(F.col("text"))), ["conv_id"], "turn", "v")
-    return clustering.synthesised(rows.join(grouped, ["conv_id", "turn"]), ["conv_id"]).select("conv_id", "group_id", "score", "distance", "method")
+    return repair.synthesised(rows.join(grouped, ["conv_id", "turn"]), ["conv_id"], "turn", models.StandIn()).select("conv_id", "group_id", "size", "text", "strategy")
 
 
 def _trees(spark: SparkSession, d: str) -> DataFrame:
@@ -133,12 +133,6 @@ def pattern_dendrogram(spark: SparkSession, d: str) -> DataFrame:
     return patterns.clustered(written(patterns.mine(patterns.consecutive(_trees(spark, d))), "patterns")).drop("before", "after")
 
 
-@query()
-def feedback_loop(spark: SparkSession, d: str) -> DataFrame:
-    """Bounded loop with a stand-in model, over all documents."""
-    return models.feedback_loop(table(spark, d, "documents"), models.StandIn(), "doc_id", "text")
-
-
 @query()
 def repair_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """All stages over user turns, with the benchmark texts as knowledge."""

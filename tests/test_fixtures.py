@@ -208,25 +208,35 @@ def test_feedback_loop(spark):
         def complete(self, task, inputs):
             if task == "verdict":
                 return "Result: correct" if inputs["round"] == "2" else "Result: Incorrect\nFeedback: more"
-            return '{"patch_diff": "x"}' if task == "apply" else "plan"
+            return '{"patch_diff": "x"}' if task == "apply" else "CWE-Specific Repair Strategy: plan"
 
     docs = spark.createDataFrame([(1, "code"), (2, " "), (3, None)], "k long, t string")
     got = {r.k: (r.attempts, r.status) for r in models.feedback_loop(docs, Second(), "k", "t").collect()}
     assert got == {1: (2, "success"), 2: (0, "failed"), 3: (0, "failed")}
 
 
-def test_ask_counts_every_attempt():
+def test_ask_waits_longer_each_time():
     class Fails:
         calls = 0
 
         def complete(self, task, inputs):
             self.calls += 1
             if self.calls % 2:
-                raise RuntimeError("no")
+                raise models.ModelFailure("no")
             return ""
 
-    m = Fails()
-    assert models.ask(m, "x", {}) is None and m.calls == models.ATTEMPTS
+    m, waits = Fails(), []
+    assert models.ask(m, "x", {}, sleep=waits.append) is None and m.calls == models.ATTEMPTS and waits == [5.0, 10.0]
+
+    class Broken:
+        def complete(self, task, inputs):
+            raise KeyError(task)
+
+    with pytest.raises(KeyError):
+        models.ask(Broken(), "x", {})
+    with pytest.raises(ValueError):
+        models.backend("none")
+    assert models.ask(models.backend("debug"), "x", {}) == "debug"
 
 
 def test_sources(spark, tmp_path):
