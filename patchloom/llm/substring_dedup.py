@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, lookup, shuffle_partitions, table
-from .suffix_sort import PrefixHash, extension, mixed, sort_suffixes
+from .suffix_sort import BASES, Collision, PrefixHash, extension, mixed, sort_suffixes
 
 LENGTH = 400
 K = 100
+#: Words of the shortest passage that n_shared always tells of, and of the longest that it never does.
+PASSAGE, GRAM = 51, 40
 #: Different pieces of one anchor that are compared in one place at most.
 GROUP = 256
 #: Bytes that are hashed together at most; positions in a block take 24 bits.
@@ -47,6 +49,10 @@ _SPLIT = "kh long, c1 long, c2 long, m long, d1 long, d2 long, lo long, nwin int
 _SPANS = "d1 long, d2 long, lo long, nwin int"
 
 
+def _digest(data: bytes) -> tuple[int, int]:
+    return _two_longs(hashlib.sha256(data).digest())
+
+
 def _two_longs(digest: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:16], "little", signed=True)
 
@@ -101,8 +107,6 @@ def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _records(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
     """A row for each piece of each text. A text longer than a block is met in overlapping parts."""
-    import xxhash
-
     for batch in batches:
         texts = batch.column("text").cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -116,7 +120,7 @@ def _records(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator
                 ends = offsets[a + 1 : b + 1] - at if b > a + 1 else np.array([stop - at])
                 lo, nwin, anchor, kh = anchors(part, ends, length, k)
                 raw = part.tobytes()
-                classes = [_two_longs(xxhash.xxh3_128_digest(raw[i : i + n + length - 1])) for i, n in zip(lo.tolist(), nwin.tolist(), strict=True)]
+                classes = [_digest(raw[i : i + n + length - 1]) for i, n in zip(lo.tolist(), nwin.tolist(), strict=True)]
                 c1, c2 = (np.array([c[i] for c in classes], dtype=np.int64) for i in (0, 1))
                 text = a + np.searchsorted(ends, lo, "right")
                 columns = [d1[text], d2[text], mult[text], kh.view(np.int64), c1, c2, lo + at - offsets[text], nwin.astype(np.int32), (anchor - lo).astype(np.int32)]
@@ -161,7 +165,7 @@ def _split(batches: Iterator[pa.RecordBatch], width: int, length: int) -> Iterat
                 block = o // width * width
                 shared = data[top - block : max(top - block, top - block - width + 1 + length)]
                 key = xxhash.xxh3_64_intdigest(shared, seed=(r["kh"] ^ block) & (2**64 - 1))
-                c1, c2 = _two_longs(xxhash.xxh3_128_digest(hull, seed=key))
+                c1, c2 = _digest(key.to_bytes(8, "little") + hull)
                 out.append((key - 2**64 if key >= 2**63 else key, c1 ^ o, c2, r["m"], r["d1"], r["d2"], r["lo"] + skip, n, o, hull))
                 o = bottom - 1
         if out:
@@ -170,13 +174,22 @@ def _split(batches: Iterator[pa.RecordBatch], width: int, length: int) -> Iterat
 
 def repeated_strings(group: np.ndarray, single: np.ndarray, aoff: np.ndarray, nwin: np.ndarray, pieces: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int]]:
     """(piece, first string, strings) of the repeated strings of single pieces; pieces of a group share their anchor."""
+    for base in BASES:
+        try:
+            return _repeated_strings(group, single, aoff, nwin, pieces, length, base)
+        except Collision:
+            continue
+    raise Collision("every base collides")
+
+
+def _repeated_strings(group: np.ndarray, single: np.ndarray, aoff: np.ndarray, nwin: np.ndarray, pieces: list[bytes], length: int, base: int) -> list[tuple[int, int, int]]:
     n = len(pieces)
     raw = b"".join(pieces)
     data = np.frombuffer(raw, dtype=np.uint8)
     sizes = np.array([len(x) for x in pieces], dtype=np.int64)
     begin = np.cumsum(sizes) - sizes
     anchor, right = begin + aoff, sizes - aoff
-    h = PrefixHash(data)
+    h = PrefixHash(data, base)
     order = sort_suffixes(data, h, group, anchor, right)
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.arange(n)
@@ -185,6 +198,10 @@ def repeated_strings(group: np.ndarray, single: np.ndarray, aoff: np.ndarray, nw
     if n > 1:
         x, y = order[:-1], order[1:]
         following[:-1] = np.where(same[:-1], extension(h, anchor[x], anchor[y], np.minimum(right[x], right[y])), 0)
+        # equal bytes up to the extension, and a hash that differs one byte on, prove the order and the extension
+        for p, q, shared in zip(anchor[x].tolist(), anchor[y].tolist(), following[:-1].tolist(), strict=True):
+            if raw[p : p + shared] != raw[q : q + shared]:
+                raise Collision
     found: list[tuple[int, int, int]] = []
     covered = [np.zeros(k, dtype=bool) if s else None for k, s in zip(nwin.tolist(), single.tolist(), strict=True)]
     for step in (1, -1):
@@ -211,8 +228,9 @@ def repeated_strings(group: np.ndarray, single: np.ndarray, aoff: np.ndarray, nw
                 if covered[x][a : b + 1].all():
                     continue
                 ax, ay, size = int(anchor[x]) - hi_o, int(anchor[y]) - hi_o, hi_o - lo_o + length
-                if raw[ax : ax + size] == raw[ay : ay + size]:
-                    covered[x][a : b + 1] = True
+                if raw[ax : ax + size] != raw[ay : ay + size]:
+                    raise Collision
+                covered[x][a : b + 1] = True
             place = nxt
             full = np.array([covered[x].all() for x in live.tolist()])
             live, place, reach = live[~full], place[~full], reach[~full]
@@ -296,11 +314,57 @@ def _settle(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     return scratch.save(repeated.distinct(), "repeated"), scratch.save(still, "open")
 
 
+def _word_anchors(batches: Iterator[pa.RecordBatch], passage: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """The distinct anchors of the passages of each text, as two hashes of their words."""
+    import xxhash
+
+    known: dict[bytes, int] = {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            texts = [x.encode().split() for x in part.column("text").to_pylist()]
+            if len(known) > 200_000:
+                known.clear()
+            for w in set().union(*texts) - known.keys():
+                known[w] = xxhash.xxh3_64_intdigest(w)
+            ends = np.cumsum([len(x) for x in texts])
+            words = np.fromiter((known[w] for x in texts for w in x), dtype=np.uint64, count=int(ends[-1]))
+            rows, g1, g2 = [], [], []
+            for a, b in _blocks(np.concatenate([[0], ends])):
+                start, end = int(ends[a - 1]) if a else 0, int(ends[b - 1])
+                for lower in range(start, max(start + 1, end - (passage - 1 if b == a + 1 else 0)), _BLOCK):
+                    stop = min(end, lower + _BLOCK + passage - 1) if b == a + 1 else end
+                    data = words[lower:stop]
+                    bounds = ends[a:b] - lower if b > a + 1 else np.array([stop - lower])
+                    lo, _, anchor, kh = anchors(data, bounds, passage, gram)
+                    rows.append(a + np.searchsorted(bounds, lo, "right"))
+                    g1.append(kh)
+                    g2.append(PrefixHash(data, BASES[1])(anchor, gram) if len(lo) else kh)
+                    if b > a + 1:
+                        break
+            found = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(g1), np.concatenate(g2)]), axis=1)
+            text = found[0].astype(np.int64)
+            columns = [part.column(c).to_numpy()[text] for c in ("d1", "d2", "mult")]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, found[1].view(np.int64), found[2].view(np.int64))], names=["d1", "d2", "mult", "g1", "g2"])
+
+
+def shared_passages(spark: SparkSession, texts: DataFrame, scratch: Scratch, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+    """d1, d2, n_shared of the distinct texts (d1, d2, mult, text) that have anchors of another document."""
+    found = texts.mapInArrow(lambda b: _word_anchors(b, passage, gram), "d1 long, d2 long, mult long, g1 long, g2 long")
+    found = scratch.save(found, "anchors")
+    shared = found.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.sum("mult").alias("documents")).where("documents > 1")
+    shared = scratch.save(shared, "shared")
+    hits = lookup(found.drop("mult"), shared.drop("documents"), ["g1", "g2"], "n", found.count()).where(F.col("n").isNotNull())
+    counts = scratch.save(hits.groupBy("d1", "d2").agg(F.count("*").alias("n_shared")), "shared-by-text")
+    scratch.drop(found, shared)
+    return counts
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k: int = K, group: int = GROUP) -> DataFrame:
-    """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared."""
     scratch = Scratch(spark, "substring-dedup")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    half = lambda i: F.conv(F.substring(F.md5(text), i, 16), 16, -10).cast("long")
+    half = lambda i: F.conv(F.substring(F.sha2(text, 256), i, 16), 16, -10).cast("long")
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), half(1).alias("d1"), half(17).alias("d2"), text.alias("text"))
     n = shuffle_partitions(spark)
     # distinct texts, bucketed by digest: this is the only time that texts are shuffled
@@ -309,6 +373,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
     texts.write.format("parquet").bucketBy(n, "d1", "d2").saveAsTable(name)
     texts = spark.table(name)
     rows = scratch.save(marked.select("doc_id", "d1", "d2"), "rows")
+    shared = shared_passages(spark, texts, scratch)
     scratch.release()
 
     records = texts.mapInArrow(lambda b: _records(b, length, k), _RECORD)
@@ -345,10 +410,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
     by_text = scratch.save(spans.distinct().groupBy("d1", "d2").agg(F.collect_list(F.struct("lo", "nwin")).alias("spans")), "spans")
     cleaned = texts.join(by_text.hint("shuffle_hash"), ["d1", "d2"], "left").select("d1", "d2", "mult", "text", "spans")
     schema = "d1 long, d2 long, mult long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    cleaned = scratch.save(cleaned.mapInArrow(lambda b: _clean(b, length), schema), "cleaned")
+    cleaned = cleaned.mapInArrow(lambda b: _clean(b, length), schema).join(shared, ["d1", "d2"], "left")
+    cleaned = scratch.save(cleaned.withColumn("n_shared", F.coalesce("n_shared", F.lit(0).cast("long"))), "cleaned")
     spark.sql(f"DROP TABLE {name}")
     scratch.release()
-    return lookup(rows, cleaned, ["d1", "d2"], "mult", rows.count()).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return lookup(rows, cleaned, ["d1", "d2"], "mult", rows.count()).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Odd bases; a group that one of them fails on is sorted again under the next.
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xB564EF22EC7AECE5)
+
+
+class Collision(Exception):
+    """Hashes were equal and bytes were not."""
 
 
 class PrefixHash:
-    """Polynomial hash of any substring of a buffer in constant time, modulo 2**64."""
+    """Polynomial hash of any substring of a buffer (bytes, or hashes of words) in constant time, modulo 2**64."""
 
-    def __init__(self, data: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, base: int = BASES[0]) -> None:
         n = len(data)
-        power, inverse = (np.full(n + 1, x, dtype=np.uint64) for x in (_BASE, _INVERSE))
+        power, inverse = (np.full(n + 1, x, dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
         power[0] = inverse[0] = 1
         np.multiply.accumulate(power, out=power)
         np.multiply.accumulate(inverse, out=inverse)

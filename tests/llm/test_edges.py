@@ -293,7 +293,7 @@ def test_substring_dedup(spark, docs, empty):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     for length, k, group in ((20, 5, 256), (20, 5, 4)):
         got = substring_dedup.remove_repeats(spark, df, length, k, group).orderBy("doc_id").collect()
-        assert [tuple(r)[1:] for r in got] == list(brute([t.encode() for t in texts], length))
+        assert [tuple(r)[1:5] for r in got] == list(brute([t.encode() for t in texts], length))
     got = substring_dedup.remove_repeats(spark, docs).collect()
     assert len(got) == len(TEXTS)
     by_id = {r.doc_id: r for r in got}
