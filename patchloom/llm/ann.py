@@ -8,15 +8,17 @@ are farther than the fifth best so far. The survivors are scored exactly, in dou
 Lists are cut into blocks of bounded size and so are the queries of a list, so one crowded list, or one vector that is
 repeated many times, becomes many tasks.
 
-Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors
-whose length differs from the most common one; a query meets every candidate row but its own vec_id; ties go to the smaller
-vec_id; with fewer than TOP candidates all are returned; a null vec_id is neither query nor candidate; an empty table gives an
-empty result; further columns are ignored.
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; vectors of one length are
+compared with each other only, as the cosine of two lengths is not defined, and every length is searched; a query meets every
+candidate row but its own vec_id; ties go to the smaller vec_id; a query visits more lists until those hold more than TOP rows, so
+with fewer than TOP candidates all are returned; very large and very small components are scaled by powers of two first; a null
+vec_id is neither query nor candidate; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -65,13 +67,20 @@ def rotation(dimensions: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors with their largest component between 1/2 and 1: a power of two is taken out, which loses no bit that counts."""
+    exponent = np.frexp(np.abs(v).max(axis=-1, keepdims=True))[1]
+    return np.ldexp(v, -exponent)
+
+
 def unit(v: np.ndarray) -> np.ndarray:
-    v = v / np.abs(v).max(axis=1, keepdims=True)
+    v = scaled(v)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def exact_cosine(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Cosine of one vector with many; sums are exact to the last bit, so equal vectors tie wherever they are met."""
+    q, c = scaled(q), scaled(c)
     norm = math.sqrt(math.fsum(q * q))
     return np.array([math.fsum(q * x) / (norm * math.sqrt(math.fsum(x * x))) for x in c])
 
@@ -135,38 +144,78 @@ def _scan_block(candidates: pd.DataFrame, queries: pd.DataFrame, top: int) -> pd
     return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 
+class Spaces:
+    """Centroids of each length of vectors in the sample, with the number of the first list of each.
+
+    A length that the sample lacks has one list, numbered by the length with a minus sign.
+    """
+
+    def __init__(self, sample: list[list[float]], total: int) -> None:
+        by_length: dict[int, list[list[float]]] = {}
+        for v in sample:
+            by_length.setdefault(len(v), []).append(v)
+        self.of: dict[int, tuple[int, np.ndarray]] = {}
+        first = 0
+        for length in sorted(by_length):
+            rows = unit(np.array(by_length[length]))
+            lists = max(1, min(MAX_LISTS, round(math.sqrt(total * len(rows) / len(sample))), len(rows)))
+            self.of[length] = first, fit_centroids(rows, lists)
+            first += lists
+
+    def nearness(self, vectors: np.ndarray) -> tuple[int, np.ndarray]:
+        """First list of the vectors' length, and how near each vector is to the lists from there on."""
+        length = vectors.shape[1]
+        if length not in self.of:
+            return -length, np.zeros((len(vectors), 1))
+        first, centroids = self.of[length]
+        return first, unit(vectors) @ centroids.T
+
+
+def _by_length(f: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the rows of one length."""
+    for _, part in f.groupby(f["v"].map(len), sort=True):
+        yield part["vec_id"].to_numpy(), np.stack(part["v"].to_numpy())
+
+
 def search(spark: SparkSession, vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP, probed: float = PROBED) -> DataFrame:
     """query_id, rank, vec_id, score."""
     scratch = Scratch(spark, "ann")
     rows = scratch.save(usable(vectors), "vectors")
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not common:
+    total = rows.count()
+    if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dimensions, total = common[0]["n"], common[0]["count"]
-    rows = rows.where(F.size("v") == dimensions)
     # a sample by hash, so that it does not depend on how rows are dealt; its expected size is within SAMPLE
     share = min(1.0, SAMPLE / total)
     picked = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(_SEED)), F.lit(1 << 20)) < int(share * (1 << 20))).select("vec_id", "v").orderBy("vec_id").limit(SAMPLE)
-    sample = unit(np.array([r["v"] for r in picked.collect()] or [[1.0] * dimensions]))
-    lists = max(1, min(MAX_LISTS, round(math.sqrt(total)), len(sample)))
-    visited = max(1, math.ceil(lists * probed))
-    shared = spark.sparkContext.broadcast(fit_centroids(sample, lists))
+    shared = spark.sparkContext.broadcast(Spaces([r["v"] for r in picked.collect()], total))
+
+    def file(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for ids, v in _by_length(f):
+                first, nearness = shared.value.nearness(v)
+                yield pd.DataFrame({"vec_id": ids, "v": list(v), "list": first + np.argmax(nearness, axis=1)})
+
+    filed = scratch.save(rows.mapInPandas(file, "vec_id long, v array<double>, list int"), "filed")
+    # MAX_LISTS rows for each length of vectors at most
+    sizes = scratch.save(filed.groupBy("list").agg(F.count("*").alias("n")), "sizes")
+    held = spark.sparkContext.broadcast({r["list"]: r["n"] for r in sizes.collect()})
 
-    def file(frames):  # noqa: ANN001, ANN202
+    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if len(f):
-                nearest = unit(np.stack(f["v"].to_numpy())) @ shared.value.T
-                f["list"] = np.argmax(nearest, axis=1)
-                asks = (f["vec_id"] % every == 0).to_numpy()
-                probes = np.argpartition(-nearest, visited - 1, axis=1)[:, :visited] if visited < lists else np.tile(np.arange(lists), (len(f), 1))
-                f["probes"] = [p.tolist() if a else None for p, a in zip(probes, asks, strict=True)]
-                yield f[["vec_id", "v", "list", "probes"]]
-
-    filed = scratch.save(rows.mapInPandas(file, "vec_id long, v array<double>, list int, probes array<int>"), "filed")
+            for ids, v in _by_length(f):
+                first, nearness = shared.value.nearness(v)
+                order = np.argsort(-nearness, axis=1, kind="stable")
+                counts = np.array([held.value.get(first + i, 0) for i in range(nearness.shape[1])])
+                # the query itself is in one of the lists, so more than TOP rows are wanted
+                enough = 1 + (np.cumsum(counts[order], axis=1) <= top).sum(axis=1)
+                visited = np.minimum(np.maximum(math.ceil(nearness.shape[1] * probed), enough), nearness.shape[1])
+                yield pd.DataFrame({"vec_id": ids, "v": list(v), "probes": [(first + o[:n]).tolist() for o, n in zip(order, visited, strict=True)]})
+
+    probes = filed.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInPandas(probe, "vec_id long, v array<double>, probes array<int>")
+    asked = scratch.save(probes, "probes").select("vec_id", "v", F.explode("probes").alias("list"))
     # block counts by list: MAX_LISTS rows at most
-    sizes = filed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    asked = filed.where("probes IS NOT NULL").select("vec_id", "v", F.explode("probes").alias("list"))
-    asks = scratch.save(asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("ask_blocks")).join(sizes, "list"), "blocks")
+    blocks = sizes.select("list", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    asks = scratch.save(asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("ask_blocks")).join(blocks, "list"), "blocks")
     by_list = F.broadcast(asks)
     salt = F.xxhash64("vec_id")
     steps = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
