@@ -8,7 +8,7 @@ A label counts only if crc32 of its doc_id as text is not 1 modulo 3; labels, la
 
 Defined cases: a null or empty text has no features and gets the score of the bias; without labels, or with one class only,
 every score is the (smoothed) share of toxic labels; of repeated labels the largest counts; a repeated document is scored
-as often as it occurs; documents without doc_id are scored and count as not held out; an empty table gives an empty result.
+as often as it occurs and learnt from once, by its largest text; documents without doc_id are scored and count as not held out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 DIMENSIONS = 1 << 20
-#: Labelled rows used for training at most: those with the smallest hash of doc_id.
-MAX_TRAINING_ROWS = 16_000
+#: Labelled rows used for training at most: those with the smallest hash of doc_id; and bytes of their features at most,
+#: beyond which the rows with the largest hashes are left out.
+MAX_TRAINING_ROWS, MAX_TRAINING_BYTES = 16_000, 256 << 20
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.01
 PREDICT_FROM = 0.7
@@ -103,11 +104,12 @@ def held_out() -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """h, text, toxic of the sample. It has most rows at most, so the chosen labels may be broadcast."""
+    """h, text, toxic of the sample: most rows at most, one for each doc_id, so the chosen labels may be broadcast."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     per_doc = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = per_doc.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("h", "text", "toxic")
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id").agg(F.first("h").alias("h"), F.max("text").alias("text"), F.first("toxic").alias("toxic")).select("h", "text", "toxic")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +143,13 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = M
 
     scratch = Scratch(spark, "toxicity")
     rows = scratch.save(training_rows(docs, labels, most).mapInArrow(_extract, "h long, toxic int, places binary"), "features")
+    used, last = 0, None
+    for r in rows.select("h", F.octet_length("places").alias("size")).orderBy("h").collect():
+        used += r["size"]
+        if used > MAX_TRAINING_BYTES:
+            break
+        last = r["h"]
+    rows = rows if last is None else rows.where(F.col("h") <= last)
     found = rows.repartition(1).sortWithinPartitions("h", "places").mapInArrow(learn, "place long, weight double").collect()
     bias = sum(r.weight for r in found if r.place < 0)
     sparse = sorted((r.place, r.weight) for r in found if r.place >= 0)
@@ -148,12 +157,14 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = M
 
 
 def score(spark: SparkSession, docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataFrame:
-    """docs with a column score."""
+    """row (a struct of all columns of docs, whatever their names) and score."""
     shared = spark.sparkContext.broadcast(model)
-    names = [*docs.columns]
-    position = names.index("text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    position = docs.columns.index("text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
         bias, places, values = shared.value
         dense = np.zeros(DIMENSIONS)
         dense[places] = values
@@ -161,25 +172,23 @@ def score(spark: SparkSession, docs: DataFrame, model: tuple[float, np.ndarray,
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                scores = [sigmoid(bias + dense[features(hasher(x))].sum()) for x in part.column(position).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*names, "score"])
+                texts = pc.struct_field(part.column(0), position).to_pylist()
+                scores = [sigmoid(bias + dense[features(hasher(x))].sum()) for x in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
-    return docs.mapInArrow(task, schema)
+    return rows.mapInArrow(task, f"row {rows.schema['row'].dataType.simpleString()}, score double")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
     """A row per document: doc_id, held_out, score, predicted."""
     model = train(spark, docs, labels, most)
     scored = score(spark, docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= PREDICT_FROM).cast("int").alias("predicted"))
+    return scored.select("row.doc_id", "score").select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= PREDICT_FROM).cast("int").alias("predicted"))
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score under PREDICT_FROM, with all their columns."""
-    plain = docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs
-    kept = score(spark, plain, train(spark, docs, labels)).where(F.col("score") < PREDICT_FROM).drop("score")
-    return kept.withColumnRenamed("__score", "score") if "score" in docs.columns else kept
+    return score(spark, docs, train(spark, docs, labels)).where(F.col("score") < PREDICT_FROM).select("row.*")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
