@@ -1,9 +1,12 @@
 """Operator 2, exact deduplication: a persistent digest index, bucketed and sorted by digest.
 
 A batch of new rows is reduced to one row per digest, compared with the index by a sort-merge anti-join (the index is
-read bucket by bucket, without a shuffle or a sort), and what the index lacks is appended to it. Everything runs on
+read bucket by bucket, so only the batch is shuffled), and what the index lacks is appended to it. Everything runs on
 DataFrame functions.
 
+A bucket gets a file with every batch, each sorted; Spark takes a bucket for sorted only while it has one file, so from the second
+batch on the join sorts the buckets it reads, each in one task.
+
 Defined cases: a null text counts as empty, and empty texts are equal to each other; of rows with the same digest the one
 with the smallest doc_id stays, a null doc_id coming last; of rows that repeat doc_id and text exactly one stays. An
 empty table gives an empty result. Columns besides doc_id and text are carried by the stage and ignored by the query.
@@ -29,8 +32,8 @@ def text_digest(text: F.Column) -> F.Column:
 class DigestIndex:
     """A catalog table digest -> (keep_id, keep_uid, group_size, batch), bucketed and sorted by digest.
 
-    batch tells which batch brought the digest in: keep_uid is a row of that batch, and group_size counts its rows. buckets defaults to the session's number of
-    shuffle partitions, so that the anti-join and the append need no exchange of their own.
+    batch tells which batch brought the digest in: keep_uid is a row of that batch, and group_size counts its rows. buckets
+    defaults to the session's number of shuffle partitions, so that the anti-join and the append need no exchange of their own.
     """
 
     SCHEMA = "digest binary, keep_id long, keep_uid long, group_size long, batch string"
@@ -74,10 +77,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, index: DigestIndex | None
     """
     scratch = Scratch(spark, "exact-dedup")
     rows = scratch.save(digests(docs), "digests")
-    index = index or DigestIndex(spark)
+    own, index = index is None, index or DigestIndex(spark)
     batch = uuid.uuid4().hex
     sizes = index.add(rows, batch)
     groups = scratch.save(index.read().drop("group_size").join(sizes, "digest"), "groups")
+    if own:
+        index.drop()
     found = lookup(rows, groups, "digest", "group_size", rows.count())
     return found.select(
         "doc_id",
@@ -100,10 +105,12 @@ def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     key = lambda c: F.coalesce(c, F.lit(2**63 - 1))
     kept = scratch.save(index.read().select(F.col("digest").alias("__digest"), key(F.col("keep_id")).alias("__key")), "kept")
     index.drop()
-    marked = docs.withColumns({"__digest": text_digest(F.col("text")), "__key": key(F.col("doc_id"))})
+    # the row travels as one struct, so that no column of docs can clash with the keys
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select(row.alias("row"), text_digest(F.col("text")).alias("__digest"), key(F.col("doc_id")).alias("__key"))
     one = F.row_number().over(Window.partitionBy("__digest", "__key").orderBy("__key"))
     stay = marked.join(kept.hint("shuffle_hash"), ["__digest", "__key"], "left_semi")
-    return stay.withColumn("__n", one).where("__n = 1").select(*docs.columns)
+    return stay.withColumn("place", one).where("place = 1").select("row.*")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
