@@ -220,10 +220,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "simhash-keep")
     found = near_duplicates(spark, docs)
     keep = scratch.save(found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct(), "kept")
-    marked = docs.where("doc_id IS NOT NULL").withColumn("__id", F.col("doc_id").cast("long"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.where("doc_id IS NOT NULL").select(row.alias("row"), F.col("doc_id").cast("long").alias("__id"))
     stay = marked.join(keep.hint("shuffle_hash"), "__id", "left_semi")
     one = F.row_number().over(Window.partitionBy("__id").orderBy("__id"))
-    return stay.withColumn("__n", one).where("__n = 1").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return stay.withColumn("place", one).where("place = 1").select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
