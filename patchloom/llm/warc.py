@@ -1,30 +1,34 @@
 """Operator 8, a deterministic sharded WARC writer and its reader.
 
-Pages are ordered by page_id over shards of even size, whose bounds come from a sample by hash, so the same pages give the same
-files byte for byte. A shard is one sorted stream: records are compressed one by one, a file is closed once it reaches its
-size, headers and digests are made anew from the payload. Files get temporary names that name the attempt and are
-renamed when complete; the manifest, written last and in the same way, lists the files that count. A lost executor
-leaves at most a temporary file.
+Pages are ordered by page_id and payload digest over shards of even size, whose bounds come from a sample by hash, so the same
+pages give the same files byte for byte, and a page_id that many rows share is spread by their digests. A shard is one sorted
+stream: records are compressed one by one, a file is closed once it reaches its size, headers and digests are made anew from
+the payload. Files get temporary names that name the attempt and are renamed when complete. The manifest is a table of the
+files that count, written by the tasks that wrote them and moved to its place last, so neither the list of files nor a
+record ever comes to the driver. A lost executor leaves at most a temporary file.
 
 Of equal payloads of SHARED bytes or more the page with the largest page_id is written in full and the others refer to it.
 Which page that is is found on digests alone; its id joins the pages as a small mark in the same sorted stream, so payloads are
 shuffled once.
 
 Defined cases: a null html is an empty payload, and pages under SHARED bytes are always written in full; of rows that repeat
-the largest page_id and payload one is written in full; a null page_id comes first in order, and as the smallest id; a null
-url gives an empty target; an empty table gives a manifest without files; further columns are ignored.
+the largest page_id and payload the first is written in full, and each record has an id of its own; a null page_id comes first in
+order, and as the smallest id; a null url gives an empty target; an empty table gives a manifest without files; further columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import json
+import itertools
 import posixpath
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +37,8 @@ from .common import Scratch, lookup, shared_dir, table
 
 SHARED = 1000
 FILE_BYTES = 16 << 20
-#: Uncompressed payload bytes of a shard, on average, and page ids in the sample that gives the bounds.
-SHARD_BYTES, SAMPLE = 64 << 20, 20_000
+#: Uncompressed payload bytes of a shard, on average; keys in the sample that gives the bounds, in all and for each shard.
+SHARD_BYTES, SAMPLE, SAMPLE_PER_SHARD = 64 << 20, 20_000, 4
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b812-9dad-11d1-80b4-00c04fd430c8")
@@ -42,11 +46,12 @@ _FILES = "file string, records long, bytes long, sha256 string"
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, body_ok boolean"
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{digest}')}>"
+def record_id(page_id: int | None, digest: str, nth: int = 0) -> str:
+    """The id of the nth record of a page with a payload."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{digest}' + (f'/{nth}' if nth else ''))}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, nth: int = 0) -> bytes:
     """One compressed member: a response with the payload, or a revisit that has headers only."""
     sha1 = hashlib.sha1(payload)
     digest = base64.b32encode(sha1.digest()).decode()
@@ -56,7 +61,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id, digest)}",
+        f"WARC-Record-ID: {record_id(page_id, digest, nth)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -106,97 +111,119 @@ class ShardWriter:
 
 
 def _write_shards(batches: Iterator[pa.RecordBatch], folder: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard, page_id, mark first; a mark names what the page's payload is a copy of."""
+    """Rows sorted by shard, key, mark first; a mark tells which page its payload is written with."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
     attempt = f"{context.stageId()}-{context.partitionId()}-{context.taskAttemptId()}"
     writer: ShardWriter | None = None
-    marks: dict[str, int | None] = {}
-    whole: set[str] = set()
-    page: int | None = None
-    files = []
+    key, marked, keeper, nth = None, False, None, 0
+    files: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        columns = list(zip(*files, strict=True)) or [(), (), (), ()]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["file", "records", "bytes", "sha256"])
+
     for batch in batches:
-        for r in batch.to_pylist():
-            if writer is None or writer.shard != r["shard"]:
-                if writer is not None:
-                    writer.close()
-                    files += writer.files
-                writer, marks, whole, page = ShardWriter(folder, r["shard"], attempt, limit), {}, set(), r["page_id"]
-            if r["page_id"] != page:
-                marks, whole, page = {}, set(), r["page_id"]
-            if r["mark"]:
-                marks[r["digest"]] = r["keeper"]
-                continue
-            payload = (r["html"] or "").encode()
-            digest = hashlib.sha1(payload).hexdigest()
-            revisit = digest in marks and (marks[digest] != page or digest in whole)
-            whole.add(digest)
-            writer.write(record(page, r["url"], payload, marks.get(digest), revisit))
+        for at in range(0, batch.num_rows, 64):
+            for r in batch.slice(at, 64).to_pylist():
+                if writer is None or writer.shard != r["shard"]:
+                    if writer is not None:
+                        writer.close()
+                        files += writer.files
+                    writer = ShardWriter(folder, r["shard"], attempt, limit)
+                if (r["key"], r["digest"]) != key:
+                    key, marked, keeper, nth = (r["key"], r["digest"]), False, None, 0
+                if r["mark"]:
+                    marked, keeper = True, r["keeper"]
+                    continue
+                payload = (r["html"] or "").encode()
+                writer.write(record(r["page_id"], r["url"], payload, keeper, marked and (keeper != r["page_id"] or nth > 0), nth))
+                nth += 1
     if writer is not None:
         writer.close()
         files += writer.files
-    columns = list(zip(*files, strict=True)) or [(), (), (), ()]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.string()]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["file", "records", "bytes", "sha256"])
+    yield flush()
 
 
-def shared_payloads(spark: SparkSession, pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """page_id, digest, keeper of the pages whose payload of SHARED bytes or more occurs more than once."""
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
-    rows = scratch.save(rows.where(F.col("bytes") >= SHARED).drop("bytes"), "digests")
+def sort_key(page_id: F.Column, digest: F.Column) -> F.Column:
+    """A text that sorts as (page_id, nulls first, then digest): fixed width, so shards can be cut anywhere between two of them."""
+    number = F.lpad(F.hex(page_id.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.concat(F.coalesce(number, F.lit("")), F.lit("/"), F.substring(digest, 1, 16))
+
+
+def shared_payloads(spark: SparkSession, digests: DataFrame, scratch: Scratch) -> DataFrame:
+    """page_id, digest, keeper of the pages (page_id, digest, bytes) whose payload of SHARED bytes or more occurs more than once."""
+    rows = digests.where(F.col("bytes") >= SHARED).select("page_id", "digest")
     groups = scratch.save(rows.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")), "groups")
     found = lookup(rows, groups, "digest", "n", rows.count())
     return found.where("n > 1").select("page_id", "digest", "keeper").distinct()
 
 
-def shard_bounds(pages: DataFrame, shards: int, total: int) -> list[int]:
-    """Up to shards - 1 page ids from a sample of SAMPLE ids or about that, chosen by hash."""
-    share = min(1.0, SAMPLE / max(1, total))
-    sample = pages.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < int(share * (1 << 20)))).select("page_id")
-    ids = sorted(r[0] for r in sample.orderBy("page_id").limit(4 * SAMPLE).collect())
-    return sorted({ids[len(ids) * i // shards] for i in range(1, shards)}) if ids else []
+def shard_bounds(digests: DataFrame, shards: int, total: int) -> np.ndarray:
+    """Up to shards - 1 keys from a sample by hash, which has about SAMPLE keys or SAMPLE_PER_SHARD for each shard."""
+    share = min(1.0, max(SAMPLE, SAMPLE_PER_SHARD * shards) / max(1, total))
+    key = sort_key(F.col("page_id"), F.col("digest"))
+    sample = digests.select(key.alias("key")).where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    keys = np.sort(sample.toPandas()["key"].to_numpy().astype("S33"))
+    return np.unique(keys[len(keys) * np.arange(1, shards) // shards]) if len(keys) else keys
 
 
-def write_warc(spark: SparkSession, pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, shard_bytes: int = SHARD_BYTES) -> dict:
-    """Write the archives of pages (page_id, url, html) into a new shared folder; returns the manifest."""
+def write_warc(spark: SparkSession, pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, shard_bytes: int = SHARD_BYTES) -> None:
+    """Write the archives of pages (page_id, url, html) and their manifest into a new shared folder."""
     scratch = Scratch(spark, "warc")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    total, size = pages.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    digests = scratch.save(pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes")), "digests")
+    total, size = digests.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     shards = max(1, -(-size // shard_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 512)))
-    bounds = shard_bounds(pages, shards, total)
-    # searching the bounds is a sum of comparisons; there is one bound for every SHARD_BYTES of pages
-    shard = F.size(F.filter(F.lit(bounds).cast("array<long>"), lambda b: b <= F.col("page_id"))) if bounds else F.lit(0)
-    shard = F.when(F.col("page_id").isNull(), F.lit(0)).otherwise(shard).cast("int")
-    marks = scratch.save(shared_payloads(spark, pages, scratch), "marks")
+    bounds = shard_bounds(digests, shards, total)
+    # a bound for every SHARD_BYTES of pages, searched by halves
+    shared = spark.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf("int")
+    def shard_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, keys.to_numpy().astype("S33"), side="right").astype(np.int32))
+
+    marks = scratch.save(shared_payloads(spark, digests, scratch), "marks")
     none = F.lit(None).cast("string")
-    rows = pages.select("page_id", "url", "html", none.alias("digest"), F.lit(None).cast("long").alias("keeper"), F.lit(False).alias("mark"))
+    rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"), F.lit(None).cast("long").alias("keeper"), F.lit(False).alias("mark"))
     rows = rows.unionByName(marks.select("page_id", none.alias("url"), none.alias("html"), "digest", "keeper", F.lit(True).alias("mark")))
-    rows = rows.withColumn("shard", shard).repartitionById(len(bounds) + 1, F.col("shard"))
-    rows = rows.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("mark").desc(), "url", "html")
+    rows = rows.withColumn("key", sort_key(F.col("page_id"), F.col("digest")))
+    rows = rows.withColumn("shard", shard_of("key")).repartitionById(len(bounds) + 1, F.col("shard"))
+    rows = rows.sortWithinPartitions("shard", "key", "digest", F.col("mark").desc(), "url")
     fs, path = _filesystem(folder)
     fs.create_dir(path, recursive=True)
-    files = sorted(tuple(r) for r in rows.mapInArrow(lambda b: _write_shards(b, folder, file_bytes), _FILES).collect())
-    manifest = {"format": "WARC/1.1", "files": [dict(zip(("file", "records", "bytes", "sha256"), f, strict=True)) for f in files]}
-    temporary = posixpath.join(path, f".manifest.{uuid.uuid4().hex}")
-    with fs.open_output_stream(temporary) as out:
-        out.write(json.dumps(manifest, indent=1, sort_keys=True).encode())
-    fs.move(temporary, posixpath.join(path, "manifest.json"))
-    return manifest
-
-
-def _parse(content: bytes) -> Iterator[tuple]:
-    view = memoryview(content)
-    at = 0
-    while at < len(view):
-        z = zlib.decompressobj(31)
-        parts, step = [], 1 << 16
+    temporary = f".manifest-{uuid.uuid4().hex}"
+    rows.mapInArrow(lambda b: _write_shards(b, folder, file_bytes), _FILES).write.parquet(posixpath.join(folder, temporary))
+    fs.move(posixpath.join(path, temporary), posixpath.join(path, "manifest"))
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """file, records, bytes, sha256 of the archives that count."""
+    return spark.read.schema(_FILES).parquet(posixpath.join(folder, "manifest"))
+
+
+def _members(stream: pa.NativeFile) -> Iterator[bytes]:
+    """The decompressed members of an archive, one at a time."""
+    rest = b""
+    while True:
+        z, parts = zlib.decompressobj(31), []
         while not z.eof:
-            parts.append(z.decompress(view[at : at + step]))
-            at += step
-        at = min(at, len(view)) - len(z.unused_data)
-        raw = b"".join(parts)
+            data = rest or stream.read(1 << 16)
+            rest = b""
+            if not data:
+                if parts:
+                    raise EOFError("an archive ends within a record")
+                return
+            parts.append(z.decompress(data))
+        rest = z.unused_data
+        yield b"".join(parts)
+
+
+def _parse(stream: pa.NativeFile) -> Iterator[tuple]:
+    for raw in _members(stream):
         head, _, body = raw.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
         block = body[: int(fields["Content-Length"])]
@@ -213,11 +240,6 @@ def _parse(content: bytes) -> Iterator[tuple]:
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """A row per record of the archives that the manifest lists; body_ok tells whether its digests hold."""
-    fs, path = _filesystem(folder)
-    with fs.open_input_stream(posixpath.join(path, "manifest.json")) as f:
-        listed = [x["file"] for x in json.loads(f.read())["files"]]
-    if not listed:
-        return spark.createDataFrame([], _READ)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
@@ -226,12 +248,12 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
             for name in batch.column("file").to_pylist():
                 own, at = _filesystem(folder)
                 with own.open_input_stream(posixpath.join(at, name), compression=None) as f:
-                    rows = list(_parse(f.read()))
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+                    records = _parse(f)
+                    while rows := list(itertools.islice(records, 1024)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    files = spark.createDataFrame([(x,) for x in listed], "file string").repartition(len(listed))
-    return files.mapInArrow(task, _READ)
+    listed = manifest(spark, folder).select("file")
+    return listed.repartition(max(1, min(listed.count(), 10_000)), "file").mapInArrow(task, _READ)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
