@@ -4,7 +4,8 @@ A change is a signed row: an insert adds a document and its tokens, a delete tak
 of the old count and an insert of the new one. A batch of changes is reduced to one delta row per key and committed
 under its batch id: the delta is written first, then a commit file that names it appears by a rename. A batch id that has
 a commit file is never applied again, so a batch may be retried after any failure; a delta without commit file is ignored.
-Totals are the sum of the committed deltas, and compact() folds those into one.
+Totals are the sum of the committed deltas. compact() folds those into one and moves the batch ids into a table, so the driver
+lists only what was committed since.
 
 Defined cases: null source, language or text are keys and empty texts of their own; repeated rows count as often as they
 occur; a key whose documents were all deleted disappears; an empty batch commits and changes nothing; extra columns are ignored.
@@ -70,9 +71,16 @@ class Rollup:
                 stream.close()
         return found
 
+    def _covered(self, done: dict[str, dict], names: list[str]) -> set[str]:
+        """Which of some batches a compaction has taken in."""
+        tables = [c["covers"] for c in done.values() if "covers" in c]
+        if not tables or not names:
+            return set()
+        return {r[0] for r in self.spark.read.schema("batch string").parquet(*tables).where(F.col("batch").isin(names)).distinct().collect()}
+
     def committed(self, batch: str) -> bool:
         done = self._commits()
-        return batch in done or any(batch in c.get("covers", ()) for c in done.values())
+        return batch in done or bool(self._covered(done, [batch]))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply a batch of changes (source, lang, version, sign, tokens) once; False if it was applied before."""
@@ -91,8 +99,10 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """source, lang, version, documents, tokens."""
-        done = self._commits()
-        covered = {b for c in done.values() for b in c.get("covers", ())}
+        return self._sum(self._commits())
+
+    def _sum(self, done: dict[str, dict]) -> DataFrame:
+        covered = self._covered(done, list(done))
         paths = [c["data"] for b, c in done.items() if b not in covered]
         if not paths:
             return self.spark.createDataFrame([], DELTA)
@@ -100,13 +110,22 @@ class Rollup:
         return deltas.groupBy(*KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 OR tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all committed deltas into one, whose commit covers theirs; then their files may go."""
+        """Fold all deltas committed by now into one, whose commit covers theirs; then their files may go.
+
+        Sums and covers come from one listing, so a batch that is committed meanwhile is in neither.
+        """
         done = self._commits()
-        covers = sorted(set(done) | {b for c in done.values() for b in c.get("covers", ())})
-        if self._apply(f"compact-{uuid.uuid4().hex}", self.totals(), {"covers": covers}):
+        covers = f"{self.folder}/covers/{uuid.uuid4().hex}"
+        names = self.spark.createDataFrame([(b,) for b in done], "batch string")
+        for older in [c["covers"] for c in done.values() if "covers" in c]:
+            names = names.unionByName(self.spark.read.schema("batch string").parquet(older))
+        names.distinct().write.parquet(covers)
+        if self._apply(f"compact-{uuid.uuid4().hex}", self._sum(done), {"covers": covers}):
             for batch, c in done.items():
                 delete(self.spark, self._commit_path(batch))
                 delete(self.spark, c["data"])
+                if "covers" in c:
+                    delete(self.spark, c["covers"])
 
 
 def counted(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
