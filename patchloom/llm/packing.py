@@ -216,3 +216,14 @@ def packed_digest(pieces: DataFrame) -> DataFrame:
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(pack(table(spark, sf_dir, "documents")))
+
+
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of conversations under three limits that all bind: 2048 tokens, 16 segments, 1024 loss-bearing tokens.
+
+    Only what an assistant says bears loss. A row per piece; loss_tokens are its ids that bear loss.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    rows = turns.select((F.col("conv_id") * 1024 + F.col("turn")).alias("doc_id"), "text", (F.col("role") == "assistant").alias("bears"))
+    pieces = pack(rows, segments=16, loss=1024, loss_column="bears")
+    return pieces.select("doc_id", "start", "length", "doc_tokens", "loss_tokens", "sequence_id", "offset")

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_ann": ann.op10_ann,
+    "instruction_packing": packing.instruction_packing,
 }
 
 ORACLE = {
