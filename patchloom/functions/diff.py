@@ -116,6 +116,18 @@ def unified_udf(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
         yield pd.Series([unified(a, b) for a, b in zip(old, new, strict=True)], dtype=object)
 
 
+@F.pandas_udf(StringType())
+def unified_doubled_udf(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for old, new in pairs:
+        yield pd.Series([unified(a, b, doubled=True) for a, b in zip(old, new, strict=True)], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def diff_context_udf(diffs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in diffs:
+        yield pd.Series(["\n".join(diff_context(x)) for x in batch], dtype=object)
+
+
 @F.pandas_udf(_LINES)
 def insertion_point_udf(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for old, new in pairs:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.functions import diff
+from patchloom.functions import text as T
 from patchloom.functions.vectors import HashingEmbedder, embed
-from patchloom.operators import clustering, dendrogram, patterns
+from patchloom.operators import clustering, dendrogram, graph, patterns
 from patchloom.session import table, written
 
 from . import models, repair
@@ -33,9 +34,48 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.col("text").alias("old")).join(after, ["conv_id", "turn"])
 
 
-@query()
+#: Line ends of other kinds than the line feed, which the differ splits at and SQL does not.
+_ENDS = r"[\r\x{B}\x{C}\x{1C}\x{1D}\x{1E}\x{85}\x{2028}\x{2029}]"
+_LINES = f"""l AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i, len(l) AS n FROM (
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '{_ENDS}', ' ', 'g'), '\\n$', ''), chr(10)) AS l FROM documents))"""
+
+
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, old: the lines of every text, each with its number in front, so that no two are equal."""
+    lines = T.lines(F.regexp_replace("text", _ENDS, " "))
+    return table(spark, d, "documents").select("doc_id", F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit("| "), x)).alias("lines"))
+
+
+def _edited(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered texts and what an edit makes of them: some lines go, some change, after some comes a new one."""
+
+    def edit(x, i):  # noqa: ANN001, ANN202
+        own = F.when((i + 1) % 7 == 3, F.array().cast("array<string>")).when((i + 1) % 5 == 2, F.array(F.concat((i + 1).cast("string"), F.lit("| changed")))).otherwise(F.array(x))
+        return F.when((i + 1) % 11 == 4, F.concat(own, F.array(F.concat(F.lit("new "), (i + 1).cast("string"))))).otherwise(own)
+
+    rows = _numbered(spark, d)
+    return rows.select("doc_id", F.array_join("lines", "\n").alias("old"), F.array_join(F.flatten(F.transform("lines", edit)), "\n").alias("new"))
+
+
+@query(f"""
+WITH {_LINES}, k AS (SELECT doc_id, i, i % 7 <> 3 AND i % 5 <> 2 AS kept, i % 7 <> 3 AND i % 5 = 2 AS changed, i % 11 = 4 AS grown FROM l),
+g AS (SELECT *, count(*) FILTER (kept) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM k),
+s AS (SELECT doc_id, gap, count(*) FILTER (changed OR grown) AS n_new FROM g GROUP BY ALL)
+SELECT g.doc_id, coalesce(string_agg(CASE WHEN NOT kept AND n_new > 0 THEN i END, ',' ORDER BY i), '') AS modified, coalesce(string_agg(CASE WHEN NOT kept AND n_new = 0 THEN i END, ',' ORDER BY i), '') AS deleted,
+       coalesce(string_agg(CASE WHEN NOT kept THEN i END, ',' ORDER BY i), '') AS touched, count(*) FILTER (changed)::BIGINT + count(*) FILTER (grown)::BIGINT AS added
+FROM g JOIN s USING (doc_id, gap) GROUP BY g.doc_id
+""")
 def changed_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Changed line sets of each document and its neighbour."""
+    """Changed line sets of every text under a known edit."""
+    found = _edited(spark, d).select("doc_id", diff.changed_lines_udf("old", "new").alias("c"))
+    text = lambda c: F.array_join(c.cast("array<string>"), ",")
+    touched = F.array_sort(F.array_union("c.modified", "c.deleted"))
+    return found.select("doc_id", text(F.col("c.modified")).alias("modified"), text(F.col("c.deleted")).alias("deleted"), text(touched).alias("touched"), F.size("c.added").cast("long").alias("added"))
+
+
+@query()
+def changed_lines_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Changed line sets of each document and its neighbour, whatever they have in common."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("new"))
     found = docs.join(after, "doc_id").select("doc_id", diff.changed_lines_udf("text", "new").alias("c"))
@@ -60,17 +100,77 @@ def changed_lines_shortcuts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+def _one_changed(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered texts with their middle line changed."""
+    middle = F.floor(F.size("lines") / 2)
+    new = F.transform("lines", lambda x, i: F.when(i == middle, F.lit("changed")).otherwise(x))
+    return _numbered(spark, d).select("doc_id", F.array_join("lines", "\n").alias("old"), F.array_join(new, "\n").alias("new"))
+
+
+_HUNK = f"""{_LINES}, p AS (SELECT *, 1 + n // 2 AS p, greatest(1, 1 + n // 2 - 3) AS s, least(n, 1 + n // 2 + 3) AS t FROM l)"""
+_HEADER = "'@@ -' || any_value(s) || CASE WHEN any_value(t - s) = 0 THEN '' ELSE ',' || any_value(t - s + 1) END || ' +' || any_value(s) || CASE WHEN any_value(t - s) = 0 THEN '' ELSE ',' || any_value(t - s + 1) END || ' @@'"
+
+
+@query(f"""
+WITH {_HUNK} SELECT doc_id, '--- before' || chr(10) || '+++ after' || chr(10) || {_HEADER} || chr(10) ||
+  string_agg(CASE WHEN i = p THEN '-' || i || '| ' || line || chr(10) || '+changed' ELSE ' ' || i || '| ' || line END, chr(10) ORDER BY i) FILTER (i BETWEEN s AND t) AS diff FROM p GROUP BY doc_id
+""")
 def unified_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Unified diff of consecutive turns."""
-    return _pairs(spark, d).select("conv_id", "turn", diff.unified_udf("old", "new").alias("diff"))
+    """Unified diff of every text with one line changed."""
+    return _one_changed(spark, d).select("doc_id", diff.unified_udf("old", "new").alias("diff"))
 
 
-@query()
+@query(f"""
+WITH {_HUNK} SELECT doc_id, '--- before' || chr(10) || chr(10) || '+++ after' || chr(10) || chr(10) || {_HEADER} || chr(10) || chr(10) ||
+  string_agg(CASE WHEN i = p THEN '-' || i || '| ' || line || CASE WHEN i < n THEN chr(10) ELSE '' END || chr(10) || '+changed' ELSE ' ' || i || '| ' || line END || CASE WHEN i < n THEN chr(10) ELSE '' END, chr(10) ORDER BY i)
+  FILTER (i BETWEEN s AND t) AS diff FROM p GROUP BY doc_id
+""")
+def unified_diff_doubled(spark: SparkSession, d: str) -> DataFrame:
+    """T4: the same with line ends kept and doubled."""
+    return _one_changed(spark, d).select("doc_id", diff.unified_doubled_udf("old", "new").alias("diff"))
+
+
+@query(f"""
+WITH {_HUNK} SELECT doc_id, string_agg(CASE WHEN i = p THEN '-' || i || '| ' || line || chr(10) || '+changed' ELSE ' ' || i || '| ' || line END, chr(10) ORDER BY i) FILTER (i BETWEEN greatest(s, p - 1) AND least(t, p + 1)) AS context
+FROM p GROUP BY doc_id
+""")
+def diff_context(spark: SparkSession, d: str) -> DataFrame:
+    """Changed lines of a diff with their neighbours."""
+    return unified_diff(spark, d).select("doc_id", diff.diff_context_udf("diff").alias("context"))
+
+
+@query(f"""
+WITH {_LINES} SELECT doc_id, CASE WHEN p = 0 THEN '1' WHEN p >= n THEN n::VARCHAR ELSE p || ',' || (p + 1) END AS places FROM (SELECT DISTINCT doc_id, n, doc_id % (n + 1) AS p FROM l)
+""")
 def insertion_points(spark: SparkSession, d: str) -> DataFrame:
-    """Where a turn's text grows into turn and next turn together."""
-    grown = _pairs(spark, d).select("conv_id", "turn", diff.insertion_point_udf("old", F.concat_ws("\n", "old", "new")).alias("at"))
-    return grown.select("conv_id", "turn", F.array_join(F.col("at").cast("array<string>"), ",").alias("at"))
+    """Where one line was put into every text."""
+    at = (F.col("doc_id") % (F.size("lines") + 1)).cast("int")
+    rows = _numbered(spark, d).withColumn("new", F.concat(F.slice("lines", F.lit(1), at), F.array(F.lit("put in")), F.slice("lines", at + 1, F.size("lines"))))
+    grown = rows.select("doc_id", diff.insertion_point_udf(F.array_join("lines", "\n"), F.array_join("new", "\n")).alias("at"))
+    return grown.select("doc_id", F.array_join(F.col("at").cast("array<string>"), ",").alias("places"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '\\n(?:[ \\t]*\\n)+', chr(10) || chr(10), 'g') AS text FROM documents")
+def blank_lines_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of blank lines become one."""
+    return table(spark, d, "documents").select("doc_id", T.collapse_blank_lines(F.col("text")).alias("text"))
+
+
+@query(f"""
+WITH {_LINES}, k AS (SELECT doc_id, i, i % 7 <> 3 AS here, i % 7 <> 3 AND i % 5 = 2 AS changed, i % 11 = 4 AS grown FROM l),
+m AS (SELECT *, sum(here::INT + grown::INT) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM k),
+a AS (SELECT doc_id, CASE WHEN grown THEN upto - 1 ELSE upto END AS p FROM m WHERE changed UNION ALL SELECT doc_id, upto FROM m WHERE grown),
+s AS (SELECT doc_id, max(upto) AS n FROM m GROUP BY doc_id),
+o AS (SELECT doc_id, max(p) FILTER (p % 2 = 0) AS even, max(p) FILTER (p % 2 = 1) AS odd FROM a GROUP BY doc_id)
+SELECT doc_id, t.line::BIGINT AS line FROM o JOIN s USING (doc_id), LATERAL (SELECT unnest(range(1, n::BIGINT + 1)) AS line) t WHERE (t.line % 2 = 0 AND t.line <= even) OR (t.line % 2 = 1 AND t.line <= odd)
+""")
+def changed_line_slice(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of an edited text that its added lines depend on, if every line depends on the last but one."""
+    rows = _edited(spark, d)
+    seeds = rows.select(F.col("doc_id").alias("grp"), F.explode(diff.changed_lines_udf("old", "new")["added"]).alias("node"))
+    lines = rows.select(F.col("doc_id").alias("grp"), F.posexplode(T.lines(F.col("new"))).alias("i", "text"))
+    edges = lines.where("i >= 2").select("grp", (F.col("i") - 1).alias("src"), (F.col("i") + 1).alias("dst"))
+    return graph.slices(edges, seeds, "backward").select(F.col("grp").alias("doc_id"), F.col("node").cast("long").alias("line"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'trigger_path' WHEN old <> new THEN 'diff' ELSE 'skipped_no_line_numbers' END AS method FROM (SELECT c.conv_id, c.turn, c.text AS old, n.text AS new FROM conversations c JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1)")
@@ -122,9 +222,7 @@ def tree_edit_script(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def pattern_match_apply(spark: SparkSession, d: str) -> DataFrame:
     """patterns of a pair applied to its first page and held against the second."""
-    pairs = written(patterns.consecutive(_trees(spark, d)), "pairs")
-    targets = pairs.select("pair_id", F.col("before").alias("tree"), F.col("after").alias("truth"))
-    return patterns.applied(patterns.mine(pairs), targets, "truth")
+    return patterns.mined_and_applied(written(patterns.consecutive(_trees(spark, d)), "pairs"))
 
 
 @query()
