@@ -169,6 +169,44 @@ def ordered_children(nodes: DataFrame, parent: str, order: list[str]) -> DataFra
     return nodes.withColumn("ordinal", F.row_number().over(Window.partitionBy(parent).orderBy(*order)) - 1)
 
 
+def function_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """grp, name, function, line, ordinal, formal, type, formal_line: the functions of a program with their formals in order.
+
+    nodes: grp, id, label, code, line, ordinal; edges: grp, start, end, etype. A function leads to its definition, that to its
+    parameter list, that to its parameters, and those to their names and types. One without parameters has a row without formal.
+    """
+    parent = edges.where(F.col("etype").isin("IS_FUNCTION_OF_AST", "IS_AST_PARENT")).select("grp", F.col("start").alias("above"), F.col("end").alias("id")).distinct()
+    below = nodes.join(parent, ["grp", "id"])
+
+    def step(rows: DataFrame, at: str, label: str, names: dict[str, str], how: str) -> DataFrame:
+        found = below.where(F.col("label") == label).select("grp", F.col("above").alias(at), *[F.col(c).alias(n) for c, n in names.items()])
+        return rows.join(found, ["grp", at], how)
+
+    found = nodes.where("label = 'Function'").select("grp", F.col("id").alias("function"), F.col("code").alias("name"), "line")
+    found = step(found, "function", "FunctionDef", {"id": "definition"}, "inner")
+    found = step(found, "definition", "ParameterList", {"id": "list"}, "left")
+    found = step(found, "list", "Parameter", {"id": "parameter", "line": "formal_line", "ordinal": "place"}, "left")
+    found = step(found, "parameter", "Identifier", {"code": "formal"}, "left")
+    found = step(found, "parameter", "ParameterType", {"code": "type"}, "left")
+    ordinal = F.row_number().over(Window.partitionBy("grp", "function").orderBy("place", "parameter")) - 1
+    return found.select("grp", "name", "function", "line", F.when(F.col("parameter").isNotNull(), ordinal).alias("ordinal"), "formal", "type", "formal_line")
+
+
+def local_types(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """grp, id, name, type, block_line: the type that a local variable is two REF or EVAL_TYPE hops from, and its block's line.
+
+    nodes: grp, id, label, name, line; edges: grp, start, end, etype.
+    """
+    links = select_edges(edges, "reftype").select("grp", F.col("start").alias("src"), F.col("end").alias("dst"))
+    locals_ = nodes.where("label = 'LOCAL'").select("grp", "id", "name")
+    near = hops(links, locals_.select("grp", F.col("id").alias("node")), 2).withColumnRenamed("start", "id")
+    kinds = nodes.where("label = 'TYPE'").select("grp", F.col("id").alias("node"), F.col("name").alias("type"))
+    typed = near.join(kinds, ["grp", "node"]).groupBy("grp", "id").agg(F.min("type").alias("type"))
+    blocks = nodes.where("label = 'BLOCK'").select("grp", F.col("id").alias("start"), F.col("line").alias("block_line"))
+    above = edges.where("etype = 'AST'").select("grp", "start", F.col("end").alias("id")).join(blocks, ["grp", "start"]).groupBy("grp", "id").agg(F.min("block_line").alias("block_line"))
+    return locals_.join(typed, ["grp", "id"], "left").join(above, ["grp", "id"], "left")
+
+
 def last_definitions(definitions: DataFrame) -> DataFrame:
     """name, def_id: of definitions with one name the last counts."""
     return definitions.groupBy("name").agg(F.max("def_id").alias("def_id"))

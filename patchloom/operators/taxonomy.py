@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.session import written
@@ -10,30 +10,34 @@ from patchloom.session import written
 #: Main classes of the public weakness taxonomy, and the class of what belongs to none.
 MAIN_CLASSES = ("CWE-189", "CWE-254", "CWE-264", "CWE-284", "CWE-310", "CWE-399", "CWE-664", "CWE-682", "CWE-691", "CWE-703", "CWE-707")
 DEFAULT_CLASS = "CWE-0"
-MAX_DEPTH = 64
 
 
-def closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+class CycleError(ValueError):
+    """Some nodes are their own ancestors, so no root is above them."""
+
+
+def closure(edges: DataFrame) -> DataFrame:
     """node, path (array from the root down) for edges node, parent (null: a root).
 
-    Grows level by level from the roots, one join per level; of several parents the smallest counts, and a node whose
-    parent is unknown is a root. A tree has few levels, and each is written before the next one joins it.
+    Grows level by level from the roots, one join per level, until a level is empty; of several parents the smallest counts, and a
+    node whose parent is unknown is a root. Each level is written before the next one joins it. Nodes on or below a cycle are
+    an error.
     """
     single = written(edges.groupBy("node").agg(F.min("parent").alias("parent")), "tree")
     known = single.select(F.col("node").alias("parent"), F.lit(True).alias("is_node"))
     marked = single.join(known, "parent", "left")
-    level = marked.where("is_node IS NULL").select("node", F.array("node").alias("path"))
     rest = written(marked.where("is_node").select("node", "parent"), "tree-rest")
-    level, done = written(level, "tree-level"), []
-    for _ in range(max_depth):
-        done.append(level)
+    level = written(marked.where("is_node IS NULL").select("node", F.array("node").alias("path")), "tree-level")
+    out, reached = level, 0
+    while True:
         above = level.select(F.col("node").alias("parent"), "path")
         level = written(rest.join(above, "parent").select("node", F.concat("path", F.array("node")).alias("path")), "tree-level")
-        if level.isEmpty():
+        n = level.count()
+        if not n:
             break
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
+        out, reached = out.unionByName(level), reached + n
+    if reached < rest.count():
+        raise CycleError("some nodes of the tree are on a cycle")
     return out
 
 
@@ -53,20 +57,16 @@ def route(rows: DataFrame, key: str, paths: DataFrame, default: str = DEFAULT_CL
     return rows.join(roots, key, "left").withColumn("top_parent", F.coalesce("__root", own, F.lit(default))).drop("__root")
 
 
-def roll_up_rare(spark: SparkSession, counts: DataFrame, parents: DataFrame, least: int) -> DataFrame:
-    """class -> final class: the rarest class under least joins its parent, counts are taken anew, until none is left.
+def roll_up_rare(counts: DataFrame, parents: DataFrame, least: int) -> DataFrame:
+    """class, final: every class under least joins its parent, counts are taken anew, and so on until none does.
 
-    counts: class, n; parents: class, parent. Both have one row per class, so the fixpoint runs on the driver, and its
-    result is a small table to join rows with.
+    counts: class, n; parents: class, parent. A round is a sum and a join of tables with a row per class, each written.
     """
-    n = {r["class"]: r["n"] for r in counts.collect()}
-    parent = {r["class"]: r["parent"] for r in parents.collect()}
-    final = {c: c for c in n}
+    current = written(counts.select("class", F.col("class").alias("final"), "n"), "rollup")
+    up = parents.where(F.col("parent").isNotNull() & (F.col("parent") != F.col("class"))).select(F.col("class").alias("final"), "parent")
     while True:
-        rare = [(n[c], c) for c in n if n[c] < least and parent.get(c) not in (None, c)]
-        if not rare:
-            break
-        _, c = min(rare)
-        n[parent[c]] = n.get(parent[c], 0) + n.pop(c)
-        final = {k: parent[c] if v == c else v for k, v in final.items()}
-    return spark.createDataFrame(sorted(final.items()) or [], "class string, final string")
+        sizes = current.groupBy("final").agg(F.sum("n").alias("total")).where(F.col("total") < least)
+        rare = written(sizes.join(up, "final").select("final", "parent"), "rollup-rare")
+        if rare.isEmpty():
+            return current.select("class", "final")
+        current = written(current.join(rare, "final", "left").select("class", F.coalesce("parent", "final").alias("final"), "n"), "rollup")

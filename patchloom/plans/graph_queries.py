@@ -6,11 +6,13 @@ control edge from a signup or purchase to the next event.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patchloom.operators import graph
-from patchloom.session import table
+from patchloom.session import table, written
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -246,3 +248,67 @@ def first_declaration(spark: SparkSession, d: str) -> DataFrame:
     block = ev.where("event_type = 'error'").groupBy("grp").agg(F.min("event_id").alias("block_line"))
     names = ev.select("grp", F.col("event_type").alias("name")).distinct().join(block, "grp")
     return graph.first_declaration(names, ev.select("grp", F.col("event_id").alias("line"), F.col("event_type").alias("text")))
+
+
+def _functions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A function per order, a formal per part of it: nodes (grp, id, label, code, line, ordinal) and edges (grp, start, end, etype)."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("grp"))
+    parts = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("grp"), "l_partkey").agg(F.min("l_returnflag").alias("flag")).join(orders, "grp", "left_semi")
+    node = lambda rows, id_, label, code, line, ordinal: rows.select("grp", F.expr(id_).alias("id"), F.lit(label).alias("label"), F.expr(code).alias("code"), F.expr(line).alias("line"), F.expr(ordinal).alias("ordinal"))
+    nodes = [
+        node(orders, "concat('f', grp)", "Function", "concat('run_', grp)", "grp + 1", "0L"),
+        node(orders, "concat('d', grp)", "FunctionDef", "''", "grp + 1", "0L"),
+        node(orders, "concat('l', grp)", "ParameterList", "''", "grp + 1", "0L"),
+        node(parts, "concat('p', grp, '/', l_partkey)", "Parameter", "''", "grp + 2", "l_partkey"),
+        node(parts, "concat('n', grp, '/', l_partkey)", "Identifier", "concat('a', l_partkey)", "grp + 2", "0L"),
+        node(parts, "concat('t', grp, '/', l_partkey)", "ParameterType", "flag", "grp + 2", "1L"),
+    ]
+    edge = lambda rows, a, b, etype="IS_AST_PARENT": rows.select("grp", F.expr(a).alias("start"), F.expr(b).alias("end"), F.lit(etype).alias("etype"))
+    edges = [
+        edge(orders, "concat('f', grp)", "concat('d', grp)", "IS_FUNCTION_OF_AST"),
+        edge(orders, "concat('d', grp)", "concat('l', grp)"),
+        edge(parts, "concat('l', grp)", "concat('p', grp, '/', l_partkey)"),
+        edge(parts, "concat('p', grp, '/', l_partkey)", "concat('n', grp, '/', l_partkey)"),
+        edge(parts, "concat('p', grp, '/', l_partkey)", "concat('t', grp, '/', l_partkey)"),
+    ]
+    return written(reduce(DataFrame.unionByName, nodes), "nodes"), written(reduce(DataFrame.unionByName, edges), "edges")
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_partkey, min(l_returnflag) AS flag FROM lineitem GROUP BY ALL)
+SELECT o_orderkey AS grp, 'run_' || o_orderkey AS name, o_orderkey + 1 AS line, CASE WHEN l_partkey IS NOT NULL THEN row_number() OVER (PARTITION BY o_orderkey ORDER BY l_partkey) - 1 END AS ordinal, 'a' || l_partkey AS formal, flag AS type
+FROM orders LEFT JOIN p ON l_orderkey = o_orderkey
+""")
+def function_table(spark: SparkSession, d: str) -> DataFrame:
+    """Functions with entry line and ordered formals."""
+    found = graph.function_table(*_functions(spark, d))
+    return found.select("grp", "name", "line", F.col("ordinal").cast("long").alias("ordinal"), "formal", "type")
+
+
+@query("""
+WITH p AS (SELECT DISTINCT l_orderkey AS grp, l_partkey FROM lineitem), t AS (SELECT p.*, p_brand FROM p JOIN part ON p_partkey = l_partkey),
+n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY l_partkey) AS i FROM t)
+SELECT grp, 'v' || lpad(l_partkey::VARCHAR, 8, '0') AS name, p_brand AS type, (grp % 3)::BIGINT AS block_line, CASE WHEN i >= grp % 3 THEN i END::BIGINT AS declared FROM n
+""")
+def local_declarations(spark: SparkSession, d: str) -> DataFrame:
+    """Type of every local variable over two hops, line of its block, and the first line from there on that names it."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), "l_partkey").distinct().join(parts, "l_partkey")
+    rows = written(rows.withColumn("name", F.concat(F.lit("v"), F.lpad(F.col("l_partkey").cast("string"), 8, "0"))), "locals")
+    node = lambda df, id_, label, name, line: df.select("grp", F.expr(id_).alias("id"), F.lit(label).alias("label"), F.expr(name).alias("name"), F.expr(line).alias("line"))
+    nodes = node(rows, "concat('l', l_partkey)", "LOCAL", "name", "CAST(NULL AS BIGINT)").unionByName(node(rows.select("grp", "brand").distinct(), "concat('t', brand)", "TYPE", "brand", "CAST(NULL AS BIGINT)"))
+    nodes = nodes.unionByName(node(rows.select("grp").distinct(), "'b'", "BLOCK", "''", "grp % 3")).unionByName(node(rows, "concat('i', l_partkey)", "IDENTIFIER", "name", "1L"))
+    edge = lambda a, b, etype: rows.select("grp", F.expr(a).alias("start"), F.expr(b).alias("end"), F.lit(etype).alias("etype"))
+    edges = edge("concat('i', l_partkey)", "concat('l', l_partkey)", "REF").unionByName(edge("concat('i', l_partkey)", "concat('t', brand)", "EVAL_TYPE")).unionByName(edge("'b'", "concat('l', l_partkey)", "AST"))
+    found = written(graph.local_types(nodes, edges), "typed")
+    source = rows.select("grp", F.row_number().over(Window.partitionBy("grp").orderBy("l_partkey")).cast("long").alias("line"), F.concat_ws(" ", "brand", "name").alias("text"))
+    at = graph.first_declaration(found.select("grp", "name", "block_line"), source).withColumnRenamed("line", "declared")
+    return found.join(at, ["grp", "name"], "left").select("grp", "name", "type", "block_line", "declared")
+
+
+@query(f"WITH RECURSIVE {_GRAPH}, {_walk('f', 'src', 'dst')} SELECT grp, 'n' || node AS node FROM f")
+def node_reach(spark: SparkSession, d: str) -> DataFrame:
+    """Reachability over node names rather than lines."""
+    name = lambda c: F.concat(F.lit("n"), F.col(c)).alias(c)
+    edges = event_graph(spark, d).select("grp", name("src"), name("dst"))
+    return graph.reachable(edges, event_seeds(spark, d).select("grp", name("node")))

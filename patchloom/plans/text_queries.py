@@ -224,20 +224,6 @@ def majority_vote(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""
-SELECT kind, id, text, lang, url FROM (
-  SELECT 'document' AS kind, doc_id::VARCHAR AS id, text, lang, NULL AS url FROM documents
-  UNION ALL SELECT 'page', page_id::VARCHAR, NULL, NULL, url FROM pages
-  UNION ALL SELECT 'turn', conv_id || '/' || turn, text, NULL, NULL FROM conversations)
-""")
-def union_json_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Union by name of sources that lack columns."""
-    docs = table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"), "text", "lang")
-    pages = table(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").cast("string").alias("id"), "url")
-    turns = table(spark, d, "conversations").select(F.lit("turn").alias("kind"), F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
-    return docs.unionByName(pages, allowMissingColumns=True).unionByName(turns, allowMissingColumns=True)
-
-
 @query("""
 SELECT text_hash, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*)::BIGINT AS copies FROM (SELECT md5(text) AS text_hash, doc_id FROM documents) GROUP BY text_hash
 """)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions import vectors as V
 from patchloom.functions.text import word_tokens
 from patchloom.operators import taxonomy, vector_search
-from patchloom.session import table
+from patchloom.session import shared_dir, table
+from patchloom.sources import readers, sinks
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -178,17 +181,21 @@ def taxonomy_route_default(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT 'N' || n_nationkey AS class, 'R' || n_regionkey AS parent, count(c_custkey) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
-t AS (SELECT floor(avg(n)) AS least FROM n)
-SELECT CASE WHEN n < least THEN parent ELSE class END AS final, sum(n)::BIGINT AS n FROM n, t GROUP BY 1
+WITH b AS (SELECT p_brand || '/' || p_type || '/' || p_size AS class, p_brand || '/' || p_type AS up1, p_brand AS up2, count(*) AS n FROM part GROUP BY ALL),
+t AS (SELECT floor(count(*) / 60)::BIGINT AS least FROM part),
+r1 AS (SELECT *, CASE WHEN n < least THEN up1 ELSE class END AS f1 FROM b, t),
+r2 AS (SELECT *, CASE WHEN sum(n) OVER (PARTITION BY f1) < least THEN CASE WHEN f1 = class THEN up1 ELSE up2 END ELSE f1 END AS f2 FROM r1),
+r3 AS (SELECT *, CASE WHEN sum(n) OVER (PARTITION BY f2) < least THEN CASE WHEN f2 = up1 THEN up2 WHEN f2 = up2 THEN 'all' ELSE f2 END ELSE f2 END AS f3 FROM r2),
+r4 AS (SELECT *, CASE WHEN sum(n) OVER (PARTITION BY f3) < least THEN CASE WHEN f3 = up1 THEN up2 WHEN f3 = up2 THEN 'all' ELSE f3 END ELSE f3 END AS f4 FROM r3)
+SELECT f4 AS final, sum(n)::BIGINT AS n FROM r4 GROUP BY 1
 """)
 def rare_class_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """Nations with fewer customers than the mean nation join their region, to a fixpoint."""
-    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    counts = table(spark, d, "customer").groupBy(name("N", "c_nationkey").alias("class")).agg(F.count("*").alias("n"))
-    parents = table(spark, d, "nation").select(name("N", "n_nationkey").alias("class"), name("R", "n_regionkey").alias("parent"))
-    least = int(counts.agg(F.avg("n")).first()[0] or 0)
-    final = taxonomy.roll_up_rare(spark, counts, parents, least)
+    """Rare kinds of parts join their type, rare types their brand, rare brands all, to a fixpoint."""
+    parts = table(spark, d, "part").select("p_brand", F.concat_ws("/", "p_brand", "p_type").alias("type"), F.concat_ws("/", "p_brand", "p_type", "p_size").alias("class"))
+    counts = parts.groupBy("class").agg(F.count("*").alias("n"))
+    edges = parts.select("class", F.col("type").alias("parent")).unionByName(parts.select(F.col("type").alias("class"), F.col("p_brand").alias("parent")))
+    edges = edges.unionByName(parts.select(F.col("p_brand").alias("class"), F.lit("all").alias("parent"))).distinct()
+    final = taxonomy.roll_up_rare(counts, edges, parts.count() // 60)
     return counts.join(final, "class").groupBy("final").agg(F.sum("n").alias("n"))
 
 
@@ -223,3 +230,61 @@ def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "label")
     pairs = asked.join(rows, "label").select("query_id", "vec_id", F.round(V.dot(F.col("query"), F.col("embedding")), 6).alias("score"), (F.col("vec_id") * 37 % 101).alias("second"))
     return vector_search.reranked(pairs, ["query_id"], "score", "second", "vec_id").select("query_id", "vec_id", F.col("rank").cast("long").alias("place"))
+
+
+_HASHES = """w AS (SELECT doc_id, source, list_filter(string_split(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+f AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature FROM w),
+h AS (SELECT doc_id, ('0x' || left(md5(feature), 8))::BIGINT AS h FROM f),
+v AS (SELECT doc_id, h // 2 % 64 AS place, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS x FROM h GROUP BY ALL),
+s AS (SELECT doc_id, count(*) FILTER (x <> 0) AS filled, count(*) FILTER (x > 0) AS positive, max_by(place, (abs(x), -place)) FILTER (x <> 0) AS largest, sum(x * x) AS square, max(abs(x)) AS top FROM v GROUP BY doc_id)"""
+
+
+@query(f"""WITH {_HASHES} SELECT w.doc_id, source AS partition, coalesce(filled, 0)::BIGINT AS filled, coalesce(positive, 0)::BIGINT AS positive, largest::BIGINT AS largest, round(top / sqrt(square), 4) AS height
+FROM w LEFT JOIN s USING (doc_id) WHERE len(w.w) > 0""")
+def kb_build(spark: SparkSession, d: str) -> DataFrame:
+    """The knowledge base of all texts that are not blank, embedded, partitioned, written and read back."""
+    out = f"{shared_dir(spark)}/base-{uuid.uuid4().hex}"
+    rows = table(spark, d, "documents").select("doc_id", "text", "source")
+    base = vector_search.build_base(rows, F.col("text"), V.embed(V.HashingEmbedder())(F.col("text")), F.col("source"))
+    sinks.write_knowledge_base(base.select("doc_id", "embedding", F.col("partition").alias("top_parent_cwe")), out)
+    read = readers.read_knowledge_base(spark, out)
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    height = F.array_max(F.transform(e, lambda x: F.abs(x)))
+    filled = F.size(F.filter(e, lambda x: x != 0)).cast("long")
+    largest = F.when(height > 0, F.array_position(F.transform(e, lambda x: F.abs(x) == height), True) - 1)
+    return read.select(
+        "doc_id", F.col("top_parent_cwe").alias("partition"), filled.alias("filled"), F.size(F.filter(e, lambda x: x > 0)).cast("long").alias("positive"), largest.alias("largest"),
+        F.when(height > 0, F.round(height, 4)).alias("height"),
+    )
+
+
+@query("""
+WITH p AS (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings WHERE vec_id % 3 <> 0)
+SELECT label, i::BIGINT AS i, round(avg(x::DOUBLE), 6) AS mean FROM p GROUP BY ALL
+""")
+def masked_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of the vectors that a mask leaves, for each label."""
+    pooled = vector_search.masked_mean(table(spark, d, "embeddings").withColumn("mask", F.col("vec_id") % 3 != 0), ["label"], "embedding", "mask")
+    rows = pooled.select("label", F.posexplode("embedding").alias("i", "x"))
+    return rows.select("label", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("mean"))
+
+
+_STEP = "SELECT {prev}.user_id, {prev}.path || '>' || t.b AS path, t.b AS here, {prev}.score + t.w AS score FROM {prev} JOIN t ON t.user_id = {prev}.user_id AND t.a = {prev}.here WHERE {prev}.here <> 'error' UNION ALL SELECT * FROM {prev} WHERE here = 'error'"
+
+
+def _beam_sql() -> str:
+    steps = ["b0 AS (SELECT DISTINCT user_id, 'signup' AS path, 'signup' AS here, 0::BIGINT AS score FROM events)"]
+    for i in (1, 2, 3):
+        steps.append(f"s{i} AS ({_STEP.format(prev=f'b{i - 1}')})")
+        steps.append(f"b{i} AS (SELECT user_id, path, here, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, path) AS n FROM s{i}) WHERE n <= 4)")
+    return f"""WITH e AS (SELECT user_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events),
+t AS (SELECT user_id, a, b, count(*) AS w FROM e WHERE b IS NOT NULL GROUP BY ALL), {', '.join(steps)} SELECT user_id, path, score::BIGINT AS score FROM b3"""
+
+
+@query(_beam_sql())
+def beam_search(spark: SparkSession, d: str) -> DataFrame:
+    """The four best paths of three steps of each user; a path that met an error has ended."""
+    ev = table(spark, d, "events").select("user_id", F.col("event_type").alias("a"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("event_id")).alias("b"))
+    moves = ev.where("b IS NOT NULL").groupBy("user_id", "a", "b").agg(F.count("*").alias("weight"))
+    starts = ev.select("user_id").distinct().withColumn("at", F.lit("signup"))
+    return vector_search.beam(starts, moves, ["user_id"], steps=3, width=4, end="error").select("user_id", F.array_join("path", ">").alias("path"), "score")

@@ -134,7 +134,7 @@ def test_taxonomy(spark):
     assert got == ["CWE-0", "A", "CWE-189", "CWE-0"]
     counts = spark.createDataFrame([("A", 200), ("B", 5), ("C", 7)], "class string, n long")
     parents = spark.createDataFrame([("A", None), ("B", "A"), ("C", "B")], "class string, parent string")
-    assert {r["class"]: r["final"] for r in taxonomy.roll_up_rare(spark, counts, parents, 100).collect()} == {"A": "A", "B": "A", "C": "A"}
+    assert {r["class"]: r["final"] for r in taxonomy.roll_up_rare(counts, parents, 100).collect()} == {"A": "A", "B": "A", "C": "A"}
 
 
 def test_grouping():
