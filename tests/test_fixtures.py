@@ -179,7 +179,7 @@ def test_tree_properties():
     for _ in range(150):
         a, b = random_tree(rng, 3), random_tree(rng, 3)
         assert trees.generalise(a, a) == a
-        for g in (trees.generalise(a, b), trees._merge_side(a, b, trees.HoleTable())):
+        for g in (trees.generalise(a, b), trees.generalise_stripped(trees.plain(a), trees.plain(b), trees.HoleTable())):
             assert all(trees.matches(g, x) and trees.matches(g, x)[0][0] == 0 for x in (a, b))
         assert trees.from_canonical(trees.canonical(a)) == a
         assert trees.build(trees.parse_text(trees.to_text(a))) == a
@@ -189,6 +189,65 @@ def test_tree_properties():
             assert trees.matches(p.before, a)
 
 
+def test_strip_and_merge():
+    k, m, x, y, z = (leaf("t", v) for v in "kmxyz")
+    before, after = strip = trees.strip(N("c", "f", (k, x, m, k)), N("c", "f", (k, y, m, k)))
+    assert [c.value for c in before.children] == ["x"] and before.runs == ((k,), (m, k)) and after.runs == ((k,), (m, k))
+    assert tuple(map(trees.restored, strip)) == (N("c", "f", (k, x, m, k)), N("c", "f", (k, y, m, k)))
+    # unequal runs: aligned to the kept child, the surplus is one run hole, the same on both sides
+    p = trees.Pattern(N("c", "f", (m, k, x)), N("c", "f", (m, k, y)), (1,))
+    q = trees.Pattern(N("c", "f", (k, x)), N("c", "f", (k, y)), (2,))
+    got = trees.merge(p, q)
+    assert got.before.children[1:] == (k, x) and got.after.children[1:] == (k, y) and trees.is_run(got.before.children[0]) and got.before.children[0] == got.after.children[0]
+    assert trees.apply(got.before, got.after, N("c", "f", (z, z, k, x))) == [N("c", "f", (z, z, k, y))]
+    assert trees.merge(p, p._replace(before=N("c", "f", (k, x)))) is None
+    t = trees.traits(p)
+    assert (t.modified, t.unmodified, t.labelled) == (2, 2, 2)
+    refused = trees.dendrogram([p, q], gate=lambda a, b: False)
+    assert len(refused) == 2 and len(trees.dendrogram([p, q])) == 3
+
+
+def test_merged_patterns_rewrite_as_their_parts_do():
+    rng = random.Random(3)
+    merged = 0
+
+    def edited():
+        kids = [random_tree(rng, rng.randint(0, 1)) for _ in range(rng.randint(1, 4))]
+        at = rng.randrange(len(kids))
+        new = rng.choice([(N("wrap", "w", (kids[at],)),), (kids[at], leaf("leaf", "new")), ()])
+        return N("c", "f", tuple(kids)), N("c", "f", (*kids[:at], *new, *kids[at + 1 :]))
+
+    for _ in range(400):
+        (a, b), (c, d) = edited(), edited()
+        got = trees.merge(trees.Pattern(a, b, (1,)), trees.Pattern(c, d, (2,)))
+        if got is not None:
+            merged += 1
+            for before, after in ((a, b), (c, d)):
+                assert trees.matches(got.before, before) and (trees.matches(got.after, after) if got.after else after is None)
+    assert merged > 10
+
+
+def test_indexed_matches_as_matches_do():
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = random_tree(rng, 3), random_tree(rng, 3)
+        tree, truth = trees.Indexed(a), trees.Indexed(b)
+        for p in trees.extract(a, b, 0):
+            assert tree.matches(p.before) == trees.matches(p.before, a)
+            for at, bound in tree.matches(p.before) if not trees.unbound(p.before, p.after) else []:
+                new = trees.fill(p.after, bound) if p.after else ()
+                made = trees.replace_at(a, at, new)
+                assert tree.replaced(at, new) == made
+                assert tree.reads_like(truth, at, new) == (made is not None and trees.to_code(made) == trees.to_code(b))
+
+
+def test_script_marks():
+    a = N("r", "", (leaf("x", "1"), N("y", "", (leaf("z", "2"), leaf("z", "3")))))
+    b = N("r", "", (leaf("x", "1"), leaf("n", "new"), N("y", "", (leaf("z", "2"),))))
+    s = trees.read_script(a, b, '{"matches": [{"src": 0, "dest": 0}, {"src": 1, "dest": 1}, {"src": 2, "dest": 3}, {"src": 3, "dest": 4}], "actions": [{"action": "insert-node", "tree": 2}, {"action": "delete-node", "tree": 4}]}')
+    assert s.modified == {0, 2}
+
+
 def test_script_and_budget():
     a, b = N("r", "", (leaf("x", "1"), N("y", "", (leaf("z", "2"),)))), N("r", "", (N("y", "", (leaf("z", "2"),)), leaf("x", "1")))
     s = trees.read_script(a, b, '{"matches": [{"src": 0, "dest": 0}, {"src": 2, "dest": 1}], "actions": [{"action": "move-tree", "tree": 2}, {"action": "delete-node", "tree": 1}]}')
