@@ -347,12 +347,16 @@ def test_pattern_frames(spark):
 
 def test_clustered_takes_whole_root_types(spark):
     rows = [("p", i, trees.Pattern(N("p", "v" if i % 5 else "w", (leaf("a", str(i)), leaf("k", "k"))), leaf("p", "z") if i % 3 else None, (i,))) for i in range(30)]
-    frame = spark.createDataFrame([(t, i, trees.canonical(p.before), trees.canonical(p.after)) for t, i, p in rows], "root_type string, pair_id long, before string, after string")
+    frame = spark.createDataFrame([(t, i, trees.canonical(p.before), trees.canonical(p.after), p.size()) for t, i, p in rows], "root_type string, pair_id long, before string, after string, size long")
     got = patterns.clustered(frame, block=2).collect()
+    assert len({(r.block, r.node) for r in got}) == len(got)
+    taken = {(r.block, x) for r in got for x in (r.left, r.right) if x >= 0}
+    assert taken <= {(r.block, r.node) for r in got}
+    # four kinds, each of them one dendrogram, whose root says the same however many rounds it took
     want = trees.dendrogram([p for _, _, p in rows])
-    merged = lambda xs: sorted((x[0], x[1], x[2]) for x in xs)
-    assert merged((r.before, r.after, r.sources) for r in got) == merged((trees.canonical(p.before), trees.canonical(p.after), len(p.sources)) for *_, p in want)
-    # four kinds, each of them one dendrogram
+    below = {x for _, left, right, _ in want for x in (left, right)}
+    tops = sorted((trees.canonical(p.before), trees.canonical(p.after), len(p.sources)) for i, _, _, p in want if i not in below)
+    assert sorted((r.before, r.after, r.sources) for r in got if (r.block, r.node) not in taken) == tops and len(tops) == 4
     assert sum(r.left >= 0 for r in got) == 26 and max(r.sources for r in got) == 16
 
 
