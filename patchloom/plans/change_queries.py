@@ -73,16 +73,6 @@ def changed_lines(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", text(F.col("c.modified")).alias("modified"), text(F.col("c.deleted")).alias("deleted"), text(touched).alias("touched"), F.size("c.added").cast("long").alias("added"))
 
 
-@query()
-def changed_lines_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Changed line sets of each document and its neighbour, whatever they have in common."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("new"))
-    found = docs.join(after, "doc_id").select("doc_id", diff.changed_lines_udf("text", "new").alias("c"))
-    touched = F.array_sort(F.array_union("c.modified", "c.deleted"))
-    return found.select("doc_id", F.array_join(touched.cast("array<string>"), ",").alias("touched"), F.size("c.added").alias("added"))
-
-
 @query("""
 SELECT doc_id, ''::VARCHAR AS same_touched, 0::BIGINT AS same_added, '' AS gone_added, len(string_split(regexp_replace(text, '\\n$', ''), chr(10)))::BIGINT AS gone_deleted FROM documents
 """)
@@ -189,6 +179,19 @@ def agglomerative_groups(spark: SparkSession, d: str) -> DataFrame:
     return clustering.group_vectors(rows, ["label", "problem"], "vec_id", "embedding")
 
 
+@query("""
+WITH v AS (SELECT vec_id // 3 AS problem, vec_id % 3 AS i, vec_id, embedding FROM embeddings),
+s AS (SELECT a.problem, a.i AS i, b.i AS j, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE)))
+  / sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 9) AS sim FROM v a JOIN v b ON a.problem = b.problem AND a.i < b.i),
+m AS (SELECT problem, count(*) AS pairs, max_by(i * 10 + j, (sim, -i, -j)) AS pair, max(sim) AS sim FROM s GROUP BY problem)
+SELECT vec_id, (CASE WHEN pairs = 3 AND pair = 12 AND m.sim >= 0 AND i > 0 THEN 1 ELSE 0 END)::BIGINT AS group_id FROM v LEFT JOIN m USING (problem)
+""")
+def triple_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Problems of three: the nearest two form a group, and what is left alone joins the largest group so far."""
+    rows = table(spark, d, "embeddings").withColumn("problem", F.floor(F.col("vec_id") / 3))
+    return clustering.group_vectors(rows, ["problem"], "vec_id", "embedding").select("vec_id", F.col("group_id").cast("long").alias("group_id"))
+
+
 @query()
 def patch_grouping(spark: SparkSession, d: str) -> DataFrame:
     """Assistant turns of a conversation grouped by their vectors; groups of two or more give a joint candidate."""
@@ -201,10 +204,15 @@ def _trees(spark: SparkSession, d: str) -> DataFrame:
     return written(patterns.parse_pages(table(spark, d, "pages")), "trees")
 
 
-@query()
+@query(r"""
+WITH h AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)(<(?:script|style)[^>]*>).*?</(?:script|style)>', '\1', 'g') AS html FROM pages),
+t AS (SELECT page_id AS tree_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS type FROM h)
+SELECT tree_id, type, count(*)::BIGINT AS n FROM t GROUP BY ALL
+""")
 def dom_tree_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Node types of every page."""
-    return patterns.node_rows(_trees(spark, d)).groupBy("tree_id", "type").agg(F.count("*").alias("n"))
+    """Elements of every page by type."""
+    elements = patterns.node_rows(_trees(spark, d)).where("type NOT IN ('document', 'text')")
+    return elements.groupBy("tree_id", "type").agg(F.count("*").alias("n"))
 
 
 @query()

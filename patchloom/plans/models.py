@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import subprocess
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -163,6 +165,46 @@ class Constant:
         return self.answer
 
 
+class Command:
+    """A local back-end: a program that reads {"task", "inputs"} as JSON and prints its answer. It is started for each call."""
+
+    def __init__(self, arguments: list[str], seconds: float = 600) -> None:
+        self.arguments, self.seconds = arguments, seconds
+
+    def complete(self, task: str, inputs: dict[str, str]) -> str:
+        asked = json.dumps({"task": task, "inputs": inputs})
+        try:
+            done = subprocess.run(self.arguments, input=asked, capture_output=True, text=True, timeout=self.seconds, check=True)
+        except (subprocess.CalledProcessError, subprocess.TimeoutExpired) as e:
+            raise ModelFailure(str(e)) from e
+        return done.stdout.strip()
+
+
+class Guarded:
+    """A back-end whose answers may be withheld: one that blocked() names a reason for comes back empty."""
+
+    def __init__(self, model: TextModel, blocked: Callable[[str], str | None]) -> None:
+        self.model, self.blocked = model, blocked
+
+    def complete(self, task: str, inputs: dict[str, str]) -> str:
+        answer = self.model.complete(task, inputs)
+        return "" if self.blocked(answer) else answer
+
+
+def samples(model: TextModel, task: str, inputs: dict[str, str], n: int) -> list[str]:
+    """Up to n answers to one task, told apart by the input sample; empty ones are left out."""
+    found = [ask(model, task, {**inputs, "sample": str(i)}) for i in range(n)]
+    return [x for x in found if x]
+
+
+def credential(provider: str, given: str | None = None) -> str:
+    """The key that was given, else the one in <PROVIDER>_API_KEY; an error if there is none. Never stored."""
+    key = given or os.environ.get(f"{provider.upper()}_API_KEY")
+    if not key:
+        raise ValueError(f"no key for {provider}: give one or set {provider.upper()}_API_KEY")
+    return key
+
+
 #: Back-ends by name; more are added by whoever has them.
 BACKENDS: dict[str, Callable[[], TextModel]] = {"stand-in": StandIn, "debug": Constant}
 

@@ -298,6 +298,41 @@ def test_ask_waits_longer_each_time():
     assert models.ask(models.backend("debug"), "x", {}) == "debug"
 
 
+def test_backends(monkeypatch):
+    import sys
+
+    echo = models.Command([sys.executable, "-c", "import json, sys; x = json.load(sys.stdin); print(x['task'], x['inputs']['code'])"])
+    assert echo.complete("judge", {"code": "a b"}) == "judge a b"
+    with pytest.raises(models.ModelFailure):
+        models.Command([sys.executable, "-c", "raise SystemExit(3)"]).complete("judge", {})
+    guarded = models.Guarded(models.Constant("secret"), lambda x: "policy" if "secret" in x else None)
+    assert guarded.complete("t", {}) == "" and models.Guarded(models.Constant("fine"), lambda x: None).complete("t", {}) == "fine"
+    assert len(models.samples(models.StandIn(), "explain", {"code": "x"}, 4)) == 4
+    monkeypatch.setenv("SOME_API_KEY", "k")
+    assert models.credential("some") == "k" and models.credential("some", "own") == "own"
+    with pytest.raises(ValueError):
+        models.credential("nobody")
+
+
+def test_slicing_command(spark, tmp_path):
+    from patchloom import slice as slicing
+
+    (tmp_path / "n.csv").write_text("key\ttype\tcode\tlocation\n1\tS\ta\t1:0\n2\tS\tb\t2:0\n3\tS\tc\t3:0\n")
+    (tmp_path / "e.csv").write_text("start\tend\ttype\tvar\n1\t2\tREACHES\tv\n2\t3\tFLOWS_TO\t\n")
+    (tmp_path / "s.c").write_text("a = 1; // one\nb = a;\nc();\n")
+    where = [f"file://{tmp_path}/{x}" for x in ("n.csv", "e.csv", "s.c", "out")]
+    got = {r.part: r.text for r in slicing.write_slices(spark, *where, [2]).collect()}
+    assert got["forward"] == "b = a;\nc();" and got["backward"] == "a = 1;\nb = a;" and "blue" in got["dot"] and "red" in got["dot"]
+    assert {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} == {"part=forward", "part=backward", "part=dot"}
+    assert slicing.write_slices(spark, *where, [9]).where("part <> 'dot'").count() == 0
+
+
+def test_cycles_are_an_error(spark):
+    edges = spark.createDataFrame([("A", None), ("B", "A"), ("X", "Y"), ("Y", "X")], "node string, parent string")
+    with pytest.raises(taxonomy.CycleError):
+        taxonomy.closure(edges)
+
+
 def test_sources(spark, tmp_path):
     path = f"file://{tmp_path}"
     (tmp_path / "v.csv").write_text('﻿code_before,code_after,CWE ID\n"a\nb ""q""",c,CWE-1\n')
