@@ -395,17 +395,17 @@ def test_clustered_takes_whole_root_types(spark):
     assert sum(r.left >= 0 for r in got) == 26 and max(r.sources for r in got) == 16
 
 
-def test_after_leaves_rule_out_what_does_not_merge():
+def test_after_labels_rule_out_what_does_not_merge():
     texts = [N("p", "", tuple(leaf("t", x) for x in xs)) for xs in ("a", "b", "ab", "bc", "abc", "cab", "")]
     texts += [N("p", "", (N("q", "", t.children),)) for t in texts]
     ps = [trees.Pattern(b, a, (i,)) for i, (b, a) in enumerate((b, a) for b in texts for a in texts if a != b)]
     merged = 0
     for p in ps:
-        own, every = trees.after_leaves(p)
+        own, every = trees.after_labels(p)
         for q in ps:
             if p is not q and trees.merge(p, q) is not None:
                 merged += 1
-                assert own <= trees.after_leaves(q)[1] and trees.after_leaves(q)[0] <= every
+                assert own <= trees.after_labels(q)[1] and trees.after_labels(q)[0] <= every
     assert merged > 100
 
 
