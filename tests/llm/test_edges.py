@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from patchloom.llm import ann, exact_dedup, license_scan, mixing, packing, simhash, substring_dedup, token_rollup, toxicity, warc
+from patchloom.llm import ann, exact_dedup, license_rules, license_scan, mixing, packing, simhash, substring_dedup, token_rollup, toxicity, warc
 
 CLASHING = ("h", "size", "row", "place", "key", "list", "v", "probes", "text_sha256", "digest", "fp", "score", "words", "uid", "spans", "bucket", "kh", "mult", "shard", "mark", "list", "copies", "n", "doc", "i", "__n", "sequence_id")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -215,6 +215,34 @@ def test_packer_respects_all_limits():
         assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and sum(n for _, n in parts) == len(x.ids)
 
 
+def test_license_rules():
+    """The gate is exact only if each match holds the keyword of its rule as a word, and suppression if none is longer than LONGEST."""
+    for _, _, keyword, pattern in license_rules.rules():
+        whole = pattern[4:-2] if pattern.startswith(" (?:") and pattern.endswith(") ") else pattern
+        outside = re.sub(r"\(\?:[^()]*\)\??", "", re.sub(r"\(\?:[^()]*\)\??", "", whole))
+        for branch in outside.split("|"):
+            assert re.search(rf"(?<![a-z0-9]){keyword}(?![a-z0-9?])", branch), pattern
+        assert pattern.count("  ") + pattern.count(".{1,40}") * 14 < license_scan.LONGEST, pattern
+
+
+def test_license_written(spark):
+    """Every written rule is found in the words that it spells out, and nothing is found in them with one word put between each two."""
+    shown = []
+    for label, _, expression in license_rules.WRITTEN:
+        text = re.sub(r"\(\?:[^()]*\)\?", "", expression).replace(".{1,40}", "some one").replace("[^ ]{1,8}", "x").replace("licen[sc]e", "licence")
+        text = re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", text).replace("[1-4] [05]", "4 0").split("|")[0]
+        text = re.sub(r"\w\?", "", text)
+        shown.append((label, text))
+    rows = [(i, text) for i, (_, text) in enumerate(shown)] + [(1000 + i, " zq ".join(text.split())) for i, (_, text) in enumerate(shown) if " " in text]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.license_scan(spark, docs).collect()}
+    # a longer rule may contain the match and stand for it
+    assert [(s, got[i]) for i, s in enumerate(shown) if got[i] == [""]] == []
+    assert sum(s[0] in got[i] for i, s in enumerate(shown)) >= len(shown) - 5
+    single = {k for k in got if k >= 1000 and got[k] != [""]}
+    assert single <= {1000 + i for i, (_, text) in enumerate(shown) if re.search(r"\b(gplv\d|lgplv\d|agplv\d|wtfpl|odbl|sspl|busl|openrail|beerware|0bsd)\b", text)}
+
+
 def test_license_scan(spark, docs, empty):
     got = {(r.doc_id, r.n_words): r for r in license_scan.license_scan(spark, docs).collect()}
     r = got[5, 17]
