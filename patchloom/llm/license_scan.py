@@ -1,6 +1,6 @@
 """Operator 5, license scan: ordered signature rules behind a keyword prefilter, on DataFrame functions only.
 
-Texts that hold none of the rules' keywords are counted and done. The rest are written as words parted by two spaces, so that
+Texts that hold none of the rules' keywords, as whole words, are counted and done. The rest are written as words parted by two spaces, so that
 neighbouring matches never share a blank; each is met with the rules of the keywords that it holds, and every match
 becomes an interval of words. An interval inside another one of a rule with higher priority is suppressed (of equal
 intervals the rule that ranks first stays); what remains gives the labels. The base phrases are reported whatever suppresses them.
@@ -14,6 +14,8 @@ is kept; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,16 +40,22 @@ def word_number(words: F.Column) -> F.Column:
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    rows = [(-1 - i, label, words.split()[0], f" {words.replace(' ', '  ')} ", True) for i, (words, label) in enumerate(BASE.items())]
-    rows += [(*r, False) for r in rules()]
+    """Keywords stand between blanks, as they are looked for."""
+    rows = [(-1 - i, label, f" {words.split()[0]} ", f" {words.replace(' ', '  ')} ", True) for i, (words, label) in enumerate(BASE.items())]
+    rows += [(priority, label, f" {keyword} ", pattern, False) for priority, label, keyword, pattern in rules()]
     return spark.createDataFrame(rows, "priority int, label string, keyword string, pattern string, base boolean")
 
 
+def any_of(keywords: list[str]) -> str:
+    """A pattern of all keywords, one branch per first letter."""
+    return "|".join(f"{letter}(?:{'|'.join(k[1:] for k in group)})" for letter, group in groupby(sorted(keywords), key=lambda k: k[0]))
+
+
 def detections(spark: SparkSession, candidates: DataFrame, keywords: list[str]) -> DataFrame:
     """row, first, last (words), priority, label, base: every match of every rule whose keyword the words hold."""
-    held = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("words"), k))
+    held = F.filter(F.array(*(F.lit(f" {k} ") for k in keywords)), lambda k: F.contains(F.col("spaced"), k))
     spaced = F.concat(F.lit(" "), F.replace("words", F.lit(" "), F.lit("  ")), F.lit(" "))
-    keyed = candidates.select("row", spaced.alias("spaced"), F.explode(held).alias("keyword"))
+    keyed = candidates.select("row", spaced.alias("spaced")).select("row", "spaced", F.explode(held).alias("keyword"))
     tried = keyed.join(F.broadcast(rule_table(spark)), "keyword").where("spaced RLIKE pattern")
     # between matches lie the parts that a split leaves; a word opens with a space and closes with one
     spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
@@ -79,7 +87,7 @@ def license_scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     listed = rules()
     keywords = sorted({r[2] for r in listed} | {w.split()[0] for w in BASE})
     # (?i) folds ASCII only, as wanted; most texts hold no keyword and are never lower-cased
-    gate = F.col("words").rlike(f"(?i){'|'.join(keywords)}")
+    gate = F.concat(F.lit(" "), "words", F.lit(" ")).rlike(f"(?i) (?:{any_of(keywords)}) ")
     words = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words_of(F.col("text")).alias("words"))
     counted = words.select("doc_id", "row", word_number(F.col("words")).alias("n_words"), F.when(gate, ascii_lower(F.col("words"))).alias("words"))
     rows = scratch.save(counted, "words")
