@@ -380,6 +380,20 @@ def test_pattern_frames(spark):
     assert mined.count() > 0 and patterns.clustered(mined, block=2).count() >= mined.select("root_type", "before", "after").distinct().count()
 
 
+def test_patterns_of_wide_pages_apply(spark):
+    # a match looked at each sibling in a call of its own; with 1,500 of them that was too deep
+    wide = ["<ul>" + "".join(f"<li>{x}{i}</li>" for i in range(1200)) + "</ul>" for x in "ab"]
+    pages = spark.createDataFrame(list(enumerate(wide)), "page_id long, html string")
+    got = patterns.mined_and_applied(patterns.consecutive(patterns.parse_pages(pages))).collect()
+    # the list, its elements and their texts; the list alone rewrites to the next page
+    assert len(got) == 2401 and all(r.complete and r.hits == 1 for r in got) and [r.pattern_no for r in got if r.exact] == [0]
+    ul = N("ul", "", tuple(leaf("li", str(i)) for i in range(3000)))
+    assert [i for i, _ in trees.matches(ul, ul)] == [0]
+    before = N("ul", "", (trees.run_hole(0), leaf("li", "2990"), trees.run_hole(1), leaf("li", "2999")))
+    ((at, bound),) = trees.matches(before, ul)
+    assert at == 0 and len(bound[trees.run_hole(0).value]) == 2990 and len(bound[trees.run_hole(1).value]) == 8
+
+
 def test_clustered_takes_whole_root_types(spark):
     rows = [("p", i, trees.Pattern(N("p", "v" if i % 5 else "w", (leaf("a", str(i)), leaf("k", "k"))), leaf("p", "z") if i % 3 else None, (i,))) for i in range(30)]
     frame = spark.createDataFrame([(t, i, trees.canonical(p.before), trees.canonical(p.after), p.size()) for t, i, p in rows], "root_type string, pair_id long, before string, after string, size long")
