@@ -423,6 +423,24 @@ def test_after_labels_rule_out_what_does_not_merge():
     assert merged > 100
 
 
+def test_only_what_may_merge_is_clustered_together(spark):
+    # a kind was one task; now a part holds all that may ever merge, and what has no partner is in none
+    texts = [N("p", "", tuple(leaf("t", x) for x in xs)) for xs in ("a", "b", "ab", "bc", "abc", '["')]
+    some = [trees.Pattern(b, a, (i,)) for i, (b, a) in enumerate((b, a) for b in texts for a in texts if a != b)]
+    apart = [trees.Pattern(N("p", "", (leaf("t", f"x{i}"),)), N("p", "", (leaf("t", f"y{i}"),)), (100 + i,)) for i in range(50)]
+    copies = [trees.Pattern(N("p", "", (leaf("t", f"x{i}"),)), N("p", "", (leaf("t", "z"),)), (200 + i,)) for i in range(50)]
+    ps = some + apart + copies
+    frame = spark.createDataFrame([("p", p.sources[0], trees.canonical(p.before), trees.canonical(p.after), p.size()) for p in ps], "root_type string, pair_id long, before string, after string, size long")
+    part = {r.first: r.part for r in patterns._linked(patterns._facts(frame)).collect()}
+    assert all(part[p.sources[0]] is None for p in apart) and len({part[p.sources[0]] for p in copies}) == 1 and part[200] is not None
+    linked = [(p, q) for p in ps for q in ps if p is not q and trees.merge(p, q) is not None]
+    assert len(linked) > 2450 and all(part[p.sources[0]] == part[q.sources[0]] is not None for p, q in linked)
+    got = patterns.clustered(frame, text=False)
+    assert got.columns == ["root_type", "block", "node", "left", "right", "size", "sources"]
+    below = lambda out: sum(left is not None for _, left, *_ in out)
+    assert got.where("left >= 0").count() == below(trees.dendrogram(ps)) and got.count() == len(trees.dendrogram(ps))
+
+
 def test_node_hits_and_hierarchical_apply(spark, tmp_path):
     from patchloom.operators import dendrogram
     from patchloom.plans import change_queries
