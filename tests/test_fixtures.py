@@ -263,6 +263,29 @@ def test_dendrogram_keeps_sources():
     assert len(out) == 9 and len(out[-1][3].sources) == 5 and trees.is_hole(out[-1][3].before.children[0])
 
 
+def test_patterns_of_one_shape_are_merged_once(monkeypatch):
+    # each node was compared with all others, and chains kept the sources of all their nodes
+    ps = [trees.Pattern(N("title", "", (leaf("text", f"a{i}"),)), N("title", "", (leaf("text", "b"),)), (i,)) for i in range(300)]
+    tried = []
+    monkeypatch.setattr(trees, "merge", lambda *a, f=trees.merge: tried.append(1) or f(*a))
+    out = trees.dendrogram(ps)
+    assert len(tried) <= 3 and len(out) == 599 and sorted(out[-1][3].sources) == list(range(300))
+    assert sum(len(p.sources) for *_, p in trees.grown(ps)) == 600
+    # two leaves of one source do not merge with each other
+    out = trees.dendrogram([p._replace(sources=(i // 2,)) for i, p in enumerate(ps)])
+    assert all(out[left][3].sources != out[right][3].sources for _, left, right, _ in out if left is not None)
+    # by brute force: of mixed shapes, each merge is of two that merge, with what that gives, and what is left has no partner
+    rng = random.Random(2)
+    words = lambda: tuple(leaf("text", rng.choice([*"abc", f"x{rng.random()}"])) for _ in range(rng.randint(1, 3)))
+    ps = [trees.Pattern(N("p", "", words()), None if i % 3 else N("p", "", words()), (i // 2,)) for i in range(90)]
+    out, open_ = trees.dendrogram(ps), {}
+    for i, left, right, p in out:
+        if left is not None:
+            assert trees.merge(open_.pop(left), open_.pop(right)) == p
+        open_[i] = p
+    assert len(out) > 100 and not any(trees.merge(p, q) for i, p in open_.items() for j, q in open_.items() if i < j)
+
+
 def test_feedback_loop(spark):
     class Second:
         def complete(self, task, inputs):
