@@ -501,6 +501,32 @@ def test_levels_of_a_chain_take_few_steps(spark, monkeypatch):
     assert got == want and len(steps) <= 12
 
 
+def test_levels_and_leaves_of_a_chain_take_few_steps(spark, monkeypatch):
+    # dendrogram_traversal wrote a path for each node, level by level
+    from patchloom.operators import dendrogram
+    from patchloom.plans import change_queries
+
+    n, steps, rng = 300, [], random.Random(5)
+    rows = [("t", i, -1, -1) for i in range(n + 1)] + [("t", n + 1, 0, 1)] + [("t", n + i, n + i - 1, i) for i in range(2, n + 1)] + [("u", 5, -1, -1)]
+    for tree in "vwxy":
+        top, tip = list(range(40)), 40
+        rows += [(tree, i, -1, -1) for i in top]
+        while len(top) > 3:
+            left, right = (top.pop(rng.randrange(len(top))) for _ in range(2))
+            rows.append((tree, tip, left, right))
+            top, tip = [*top, tip], tip + 1
+    nodes = spark.createDataFrame(rows, "tree string, node long, left long, right long")
+    small = nodes.where("tree <> 't'")
+    found = dendrogram.paths(small)
+    tips = {(r.tree, r.node): r["count"] for r in dendrogram.leaves(small, found).groupBy("tree", "node").count().collect()}
+    want = {(r.tree, r.node, r.level, tips[r.tree, r.node]) for r in found.collect()}
+    want |= {("t", n + i, n - i, i + 1) for i in range(1, n + 1)} | {("t", i, n - max(i, 1) + 1, 1) for i in range(n + 1)}
+    monkeypatch.setattr(dendrogram, "written", lambda df, name: steps.append(name) or written(df, name))
+    monkeypatch.setattr(change_queries, "_dendrogram", lambda spark, d: nodes)
+    got = [tuple(r) for r in change_queries.dendrogram_traversal(spark, "").collect()]
+    assert len(got) == len(rows) and set(got) == want and len(steps) <= 13
+
+
 def test_left_sides_are_matched_once_and_deepest_hits_found_in_groups(spark, monkeypatch):
     # every node was matched against every target with its label, whatever else had the same left side
     texts = [N("p", "", (leaf("t", x),)) for x in ("a", 'say "!@#$hole', "\u00fc\n")]
